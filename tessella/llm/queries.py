@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import decontaminate, n_hit
+from .packing import pack_documents
+from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .warc import RECORDS_PER_FILE, fixity_audit, hex_number, warc_records
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +24,83 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
-ORACLES: dict[str, str] = {}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica is the first with one character overwritten in the records of
+    about every 97th page, so that there is damage to find."""
+    pages = table(spark, sf_dir, "pages")
+    files = max(1, round(pages.count() / RECORDS_PER_FILE))
+    size = F.length("record")
+    damaged = F.concat(F.substring("record", F.lit(1), size - 5), F.lit("#"), F.substring("record", size - 3, F.lit(4)))
+    hit = hex_number(F.col("page_id").cast("string")) % 97 == 5
+    replica = warc_records(pages, files).withColumn("record", F.when(hit, damaged).otherwise(F.col("record")))
+    return fixity_audit(pages, replica, files)
+
+
+OP8_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS t
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (
+  SELECT rid, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS t
+  FROM (SELECT rid, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT rid, i, dw.size AS size, item FROM dw JOIN bw ON dw.t = bw.t AND dw.size = bw.size),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS p FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+"""
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS page, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         greatest(1, CAST(round(count(*) OVER () / 4096.0) AS BIGINT)) AS files
+  FROM pages),
+r AS (
+  SELECT page_id, page, md5(page || ' ' || url) AS name,
+         CAST('0x' || substr(md5(page || ' ' || url || ' ' || substr(md5(html), 1, 8)), 1, 8) AS BIGINT) % files AS file, url, html
+  FROM p),
+w AS (
+  SELECT page_id, page, file,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+         || substr(name, 1, 8) || '-' || substr(name, 9, 4) || '-' || substr(name, 13, 4) || '-' || substr(name, 17, 4) || '-' || substr(name, 21, 12) || '>'
+         || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM r),
+two AS (
+  SELECT *, CASE WHEN CAST('0x' || substr(md5(page), 1, 8) AS BIGINT) % 97 = 5
+            THEN substr(record, 1, length(record) - 5) || '#' || substr(record, length(record) - 3, 4) ELSE record END AS other
+  FROM w),
+a AS (
+  SELECT file, row_number() OVER o - 1 AS no, page_id, sum(strlen(record)) OVER (o ROWS UNBOUNDED PRECEDING) - strlen(record) AS off, strlen(record) AS n, sha256(record) AS hash_a
+  FROM two WINDOW o AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record))),
+b AS (
+  SELECT file, row_number() OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(other)) - 1 AS no, sha256(other) AS hash_b FROM two)
+SELECT file, CAST(no AS BIGINT) AS no, page_id, CAST(off AS BIGINT) AS "offset", CAST(n AS BIGINT) AS n_bytes, hash_a, hash_b
+FROM a JOIN b USING (file, no) WHERE hash_a <> hash_b
+"""
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_substring_dedup, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
+ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}

@@ -140,10 +140,14 @@ def byte_records(docs, win: int, reach: int):
         yield from flush()
 
 
-def collapse(run: list, win: int):
+def by_suffix(x: tuple) -> tuple:
+    return x[0], x[1]
+
+
+def collapse(run: list, win: int, key=by_suffix):
     """Sorts a run; of equal records one stays, marked full. Returns the run and the
     spans of repeated tokens (k, s, e) that it shows by itself."""
-    run.sort(key=lambda x: (x[0], x[1]))
+    run.sort(key=key)
     out, marks = [], []
     i, n = 0, len(run)
     while i < n:
@@ -176,7 +180,7 @@ def texts(batches):
                 yield k, text
 
 
-def emit_runs(records, route, labels: list[int], win: int, size: int = RUN):
+def emit_runs(records, route, labels: list[int], win: int, size: int = RUN, key=by_suffix, encode=pack):
     """Cuts records into runs and these by route(record); yields batches of blobs."""
     parts, count, turn = {}, 0, 0
 
@@ -184,9 +188,9 @@ def emit_runs(records, route, labels: list[int], win: int, size: int = RUN):
         nonlocal turn
         rows, all_marks = [], []
         for p, run in sorted(parts.items()):
-            run, marks = collapse(run, win)
+            run, marks = collapse(run, win, key)
             all_marks += marks
-            rows.append((labels[p], 0, pack(run)))
+            rows.append((labels[p], 0, encode(run)))
         if all_marks:
             turn += 1
             rows.append((labels[(len(all_marks) + turn * 7919) % len(labels)], 1, squeeze(np.array(all_marks, "<i8").tobytes())))
