@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chained, format_replies, loss_text, read_back
 from .common import table
 from .decontam import decontaminate, n_hit
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -24,10 +26,45 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = lambda c: F.transform(c, lambda x: x["label"])
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda x: x["start"])
+    score = F.coalesce(F.array_max(F.transform("matches", lambda x: x["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        joined(labels("places")).alias("base_labels"),
+        joined(F.concat(labels("places"), labels("matches"))).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(score).alias("score"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    told = format_replies(chained(rows.unionByName(more)))
+    said_turns = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = loss_text(F.col("segments"))
+    return told.select(
+        F.col("tree").alias("conv_id"),
+        F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(said_turns, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
@@ -49,6 +86,21 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_audit(pages, replica, files)
 
 
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b'), '|', '\p') AS er,
+         replace(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b'), '|', '\p') AS et
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(er) + length(et) + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -102,5 +154,5 @@ SELECT file, CAST(no AS BIGINT) AS no, page_id, CAST(off AS BIGINT) AS "offset",
 FROM a JOIN b USING (file, no) WHERE hash_a <> hash_b
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_substring_dedup, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
-ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_substring_dedup, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
+ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
