@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat import chained, format_replies, loss_text, read_back
 from .common import table
 from .decontam import decontaminate, n_hit
+from .langid import fit, held_out, identify
 from .license_scan import scan_licenses
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
@@ -48,6 +49,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -154,5 +160,5 @@ SELECT file, CAST(no AS BIGINT) AS no, page_id, CAST(off AS BIGINT) AS "offset",
 FROM a JOIN b USING (file, no) WHERE hash_a <> hash_b
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_substring_dedup, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_substring_dedup, op6_language_id, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
 ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
