@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat import chained, format_replies, loss_text, read_back
 from .common import table
 from .decontam import decontaminate, n_hit
+from .embed_dedup import embedding_dedup
 from .jaccard import jaccard_components
 from .langid import fit, held_out, identify
 from .license_scan import scan_licenses
@@ -46,6 +47,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -165,5 +170,5 @@ SELECT file, CAST(no AS BIGINT) AS no, page_id, CAST(off AS BIGINT) AS "offset",
 FROM a JOIN b USING (file, no) WHERE hash_a <> hash_b
 """
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_substring_dedup, op5_ngram_jaccard, op6_language_id, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_embedding_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_language_id, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
 ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
