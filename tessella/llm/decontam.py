@@ -115,8 +115,8 @@ def patterns(items, win: int) -> dict[int, dict[bytes, list]]:
     return out
 
 
-def scanned(batches, searches: list[Search]):
-    """Batches of (doc_id, text) to (doc_id, n_words, spans, items)."""
+def scanned(batches, searches: list[Search], keep: tuple[str, ...] = ()):
+    """Batches of (doc_id, text) to (doc_id, keep, n_words, spans, items)."""
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     for batch in batches:
         ids = batch.column("doc_id")
@@ -144,7 +144,7 @@ def scanned(batches, searches: list[Search]):
                         items[i + d].update(search.items[p])
             i = j
         out = [[{"s": s, "e": e} for s, e in merged(x)] for x in spans]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(out, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([ids, *(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(out, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", *keep, "n_words", "spans", "items"])
 
 
 def packs(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
@@ -159,33 +159,43 @@ def packs(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
     yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", win: int = 10, limit: int = LIMIT) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, spans (maximal runs of words, from s to
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", win: int = 10, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, the columns named in keep, n_words, spans (maximal runs of words, from s to
     before e, that lie in an occurrence of a benchmark window) and items (ids, as
     strings, of the items that occur; sorted). A null text has no words; a null item
     id counts as ''; items that repeat a window are all named; an empty benchmark
     hits nothing; other columns are left out. Benchmark text beyond `limit` bytes is
     searched in further passes, whose results are merged per row."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {kind}, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
-
-    def scan(source: DataFrame, pack: list, out: str, *more: str) -> DataFrame:
+    if "text" in keep and text_col != "text":
+        raise ValueError("a kept column would clash with the text")
+    every = packs(benchmark, item_col, item_text, limit)
+    first, second = next(every), next(every, None)
+    held = tuple(keep) if second is None or "text" in keep else (*keep, "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(c for c in keep if c != "text"))
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in ("doc_id", *held))
+    found = "n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
+
+    def scan(source: DataFrame, pack: list, columns: str, more: tuple[str, ...]) -> DataFrame:
         searches = spark.sparkContext.broadcast([Search(k, p) for k, p in sorted(patterns(pack, win).items())])
-        return source.mapInArrow(lambda batches: scanned(batches, searches.value), out)
-
-    every = list(packs(benchmark, item_col, item_text, limit))
-    if len(every) == 1:
-        return scan(rows, every[0], schema)
-    keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
-    out = None
-    for pack in every:
-        part = scan(keyed, pack, schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},h:bigint,row:bigint>"))
-        out = part if out is None else out.unionByName(part)
-    spans = F.aggregate(F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
-    return out.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id.doc_id", "n_words", "spans", "items")
-
+        return source.mapInArrow(lambda batches: scanned(batches, searches.value, more), columns + found)
+
+    out = scan(rows, first, kinds, held)
+    while second is not None:
+        # What the passes before found rides along as two more columns.
+        before = out.withColumnRenamed("spans", "spans_before").withColumnRenamed("items", "items_before").drop("n_words")
+        columns = kinds + "spans_before array<struct<s:bigint,e:bigint>>, items_before array<string>, "
+        out = scan(before, second, columns, (*held, "spans_before", "items_before"))
+        out = out.select("doc_id", *held, "n_words", joined_spans(F.concat("spans_before", "spans")).alias("spans"), F.array_sort(F.array_union("items_before", "items")).alias("items"))
+        second = next(every, None)
+    return out.select("doc_id", *keep, "n_words", "spans", "items")
+
+def joined_spans(spans):
+    """Sorted, with overlapping and touching spans joined."""
+    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"))))
+    return F.aggregate(F.array_sort(spans), empty, lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.get(acc, F.size(acc) - 1)["e"]), longer(acc, x)).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))))
 
 def n_hit(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])

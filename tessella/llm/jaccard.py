@@ -358,8 +358,10 @@ def tile_links(sets: list[np.ndarray], similar: Similar) -> list[tuple[int, int]
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable
-    by links, its own included) and n_links (verified links of its set; within a tile
-    only those that connect it). Sets are the distinct shingles of `width` words, split
+    by links, its own included), n_links (verified links of its set; within a tile only
+    those that connect it), row_key (xxhash64 of id and text, the same for repeated
+    rows) and kept (true for the row_key that stands for its component, and for rows
+    without shingles). Sets are the distinct shingles of `width` words, split
     at ASCII white space, with ASCII letters in lower case. Null and empty texts have
     no shingles and no links; equal sets, those of repeated rows too, are linked; null
     ids are passed over when the smallest is taken; other columns are left out; no rows
@@ -428,6 +430,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = rows.select("doc_id", "k").join(of_row.distinct(), "k", "left")
     of_sid = ids.join(group.select(F.col("node").alias("sid"), "component"), "sid", "left").join(degree, "sid", "left")
     of_sid = of_sid.withColumn("component", F.coalesce("component", "sid"))
-    named = of_sid.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k"))
+    named = of_sid.filter("n > 0").groupBy("component").agg(first.alias("first"))
     out = of_sid.join(named, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    some = F.col("n") > 0
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(some, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("k").alias("row_key"),
+        F.when(some, F.col("k") == F.col("first.k")).otherwise(F.lit(True)).alias("kept"),
+    )

@@ -224,12 +224,13 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     get the same answer; no rows for no documents."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(net)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
+    held = text_col in keep
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if held else [F.col(text_col).alias("_text")]))
 
     def label(batches):
         net = shared.value
         for batch in batches:
-            got = batch.column("_text").to_pylist()
+            got = batch.column(text_col if held else "_text").to_pylist()
             at = [i for i, t in enumerate(got) if net is not None and t and LETTER.search(t)]
             lang, score = ["und"] * len(got), [0.0] * len(got)
             p = pooled(net, [got[i].encode() for i in at]) if at else ()

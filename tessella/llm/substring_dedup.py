@@ -179,9 +179,10 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(make, "part bigint, kind int, blob binary").repartition(n, "part").mapInArrow(merge, "k bigint, s bigint, e bigint")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win: int = 35, reach: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win: int = 35, reach: int = 30, keep: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words left, joined
-    by one space) and the columns named in keep. A null text has no words; a null id
+    by one space; with verbatim, a text that loses nothing as it is) and the columns
+    named in keep. A null text has no words; a null id
     is kept; repeated rows all lose their windows; other columns are left out; no rows
     for no documents."""
     joined = gathered(keyed(docs, id_col, text_col, *keep), repeated_words(docs, id_col, text_col, win, reach))
@@ -197,7 +198,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     at = e
                     gone += e - s
                 kept += words[at:]
-                rows.append((len(words), gone, b" ".join(kept)))
+                rows.append((len(words), gone, text or b"" if verbatim and not gone else b" ".join(kept)))
             size, gone, kept = zip(*rows) if rows else ((), (), ())
             more = [batch.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*more, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", *keep, "n_words", "n_removed", "kept"])
