@@ -50,7 +50,9 @@ def jumps(nodes: DataFrame) -> list[DataFrame]:
             break
         a = out[-1]
         b = a.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
-        out.append(materialize(a.join(b, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))))
+        # Only nodes that are still on their way up are joined; roots are known to all.
+        moved = a.filter("up is not null").join(b, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+        out.append(materialize(a.filter("up is null").unionByName(moved)))
     return out
 
 
