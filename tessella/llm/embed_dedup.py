@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize
 
-SHARD = 1024
+SHARD = 2048
 CHILDREN = 8
 SAMPLE = 512
-NEAR = 1.12
+NEAR = 1.05
 #: Centroids nearer than this are one: no link of dense vectors is cut.
 KNOT = 0.6
 DEGREE = 16
@@ -165,29 +165,32 @@ def range_search(x: np.ndarray, graph: np.ndarray, least: float, beam: int = BEA
         queries = np.arange(lo, min(n, lo + 512))
         near = beam_search(x, graph, queries, start, beam)
         seen = np.zeros((len(queries), n), bool)
+        seen[np.arange(len(queries)), queries] = True
+
+        def new(q: np.ndarray, node: np.ndarray):
+            """Those in range among the pairs not seen before."""
+            key = np.unique(q * n + node)
+            q, node = key // n, key % n
+            keep = ~seen[q, node]  # noqa: B023
+            q, node = q[keep], node[keep]
+            seen[q, node] = True  # noqa: B023
+            good = np.einsum("nd,nd->n", x[queries[q]], x[node]) >= least  # noqa: B023
+            return q[good], node[good]
+
         q, col = np.nonzero(near >= 0)
         node = near[q, col]
         # A query is a node too: its own neighbours are a way in that the beam can't miss.
         own_q, own_col = np.nonzero(graph[queries] >= 0)
-        q, node = np.concatenate([q, own_q]), np.concatenate([node, graph[queries][own_q, own_col]])
-        seen[np.arange(len(queries)), queries] = True
+        q, node = new(np.concatenate([q, own_q]), np.concatenate([node, graph[queries][own_q, own_col]]))
+        step = max(1, (1 << 20) // graph.shape[1])
         while len(q):
-            keep = ~seen[q, node]
-            q, node = q[keep], node[keep]
-            if not len(q):
-                break
-            key = np.unique(q * n + node)
-            q, node = key // n, key % n
-            seen[q, node] = True
-            good = np.empty(len(q), bool)
-            for i in range(0, len(q), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                good[part] = np.einsum("nd,nd->n", x[queries[q[part]]], x[node[part]]) >= least
-            q, node = q[good], node[good]
             yield queries[q], node
-            near = graph[node]
-            ok = near >= 0
-            q, node = np.broadcast_to(q[:, None], near.shape)[ok], near[ok]
+            found = []
+            for i in range(0, len(q), step):
+                out = graph[node[i : i + step]]
+                ok = out >= 0
+                found.append(new(np.broadcast_to(q[i : i + step, None], out.shape)[ok], out[ok]))
+            q, node = (np.concatenate(c) for c in zip(*found))
 
 
 def vectors_of(column) -> np.ndarray:
@@ -219,7 +222,7 @@ def shards(reps: DataFrame, limit: int) -> DataFrame:
 
         def centroids(t: pa.Table) -> pa.Table:
             x = vectors_of(t.column("v"))
-            k = min(CHILDREN, max(2, -(-2 * t.column("size")[0].as_py() // limit)))
+            k = min(CHILDREN, max(2, -(-3 * t.column("size")[0].as_py() // limit)))
             c = apart(kmeans(x, k, seed=seed))  # noqa: B023
             return pa.table([pa.array([t.column("cell")[0].as_py()]), pa.array([c.ravel().tolist()], pa.list_(pa.float64()))], names=["cell", "centroids"])
 
