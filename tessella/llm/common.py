@@ -111,5 +111,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = materialize(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         state = now

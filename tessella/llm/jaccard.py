@@ -8,9 +8,10 @@ candidates. A token's sets are banded by size and checked by the bound that thei
 places in the prefixes leave. Where few sets share a token, the pairs are emitted;
 where many do, the sets become tiles of bounded size. Pairs and tiles are then
 tested by hashed bitmaps of the shingles: the bits that one has and the other lacks
-bound the overlap from above. What passes is counted exactly on the sorted arrays.
-Within a tile, sets that are linked already aren't compared again: components stay
-exact, and the links of a group of copies stay fewer than twice its size.
+bound the overlap from above. What passes is counted exactly on the sorted arrays. Of
+a tile only as many pairs are counted as connect all that its bitmaps let pass; if one
+of them fails, all that they connect is compared exactly. So components are exact, and the
+links of a group of copies stay fewer than twice its size.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, part_labels, partitions, squeeze, unsqueeze
@@ -34,6 +35,8 @@ FEW = 16
 #: Shingles in one side of a tile.
 TILE = 1 << 19
 CHUNK = 2 << 20
+#: Bits of the sketch of wanted rows.
+SKETCH = 1 << 23
 RUN = 8 << 20
 
 
@@ -96,8 +99,8 @@ def bitmap(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of n: one to two for each shingle."""
-    return max(64, 1 << (2 * n - 1).bit_length() - 1 if n else 64)
+    """Bits of the bitmap of a set of n: two to four for each shingle."""
+    return max(64, 1 << (4 * n - 1).bit_length() - 1 if n else 64)
 
 
 def folded(x: np.ndarray, words: int) -> np.ndarray:
@@ -129,38 +132,37 @@ def texts_of(batch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+FEATURES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+
+
 def features(batches, width: int):
-    """(kind 0) a row for each document: row id, set id and size; (kind 1) tokens that
-    several sets of a run share, with their count."""
-    count, held, size = {}, [], 0
+    """(kind 0) a row for each document: row id, set id, size and bitmap; (kind 1) tokens
+    that several sets of a run share, with their count."""
+    seen, held, size = set(), [], 0
 
     def frequent():
         tokens = np.sort(np.concatenate(held))
         first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         n = np.diff(np.append(first, len(tokens)))
-        pick = n >= 3
-        return tokens[first[pick]].view(np.int64), n[pick]
+        token, n = tokens[first[n >= 3]].view(np.int64), n[n >= 3]
+        kind, none = np.ones(len(n), np.int32), np.zeros(len(n), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(token), pa.array(none), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary())], schema=FEATURES)
 
-    names = ["kind", "a", "b", "n"]
     for batch in batches:
-        a, b, n = [], [], []
+        out = []
         for k, x in zip(batch.column("k").to_pylist(), shingle_sets(texts_of(batch), width)):
             sid = set_id(x)
-            a.append(k)
-            b.append(sid)
-            n.append(len(x))
-            if len(x) and sid not in count:
-                count[sid] = True
+            out.append((0, k, sid, len(x), bitmap(x, width_of(len(x))).tobytes()))
+            if len(x) and sid not in seen:
+                seen.add(sid)
                 held.append(x)
                 size += 8 * len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, FEATURES.types)], schema=FEATURES)
         if size >= 4 * RUN:
-            t, c = frequent()
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(np.zeros(len(t), np.int64)), pa.array(c.astype(np.int64))], names=names)
-            count, held, size = {}, [], 0
+            yield frequent()
+            seen, held, size = set(), [], 0
     if held:
-        t, c = frequent()
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(np.zeros(len(t), np.int64)), pa.array(c.astype(np.int64))], names=names)
+        yield frequent()
 
 
 def deal(batches, frequent: np.ndarray, similar: Similar, labels: list[int], width: int):
@@ -305,6 +307,34 @@ def pair_up(batches, similar: Similar):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(members), np.int32)), pa.array(np.full(len(members), tile)), pa.array(members)], names=["kind", "a", "b"])
 
 
+def likely_forest(maps: list[np.ndarray], n: np.ndarray, similar: Similar) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of the pairs of a tile that their bitmaps let pass, enough to connect all of them;
+    and each set's group. maps: bitmaps in order of size n, smaller ones first."""
+    count = np.array([int(np.bitwise_count(m).sum()) for m in maps], np.int64)
+    width = np.array([len(m) for m in maps], np.int64)
+    tables = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width >= w)
+        short = np.stack([folded(maps[i], w) for i in at.tolist()])
+        tables[w] = (at[0], short, np.bitwise_count(short).sum(1).astype(np.int64))
+    group = np.arange(len(maps))
+    out = []
+    for i in range(1, len(maps)):
+        lo = int(np.searchsorted(n, -(-similar.percent * int(n[i]) // 100)))
+        for w in np.unique(width[lo:i]).tolist():
+            first, short, bits = tables[w]
+            other = lo + np.flatnonzero((width[lo:i] == w) & (group[lo:i] != group[i]))
+            if not len(other):
+                continue
+            both = np.bitwise_count(short[other - first] & short[i - first]).sum(1).astype(np.int64)
+            most = np.minimum(n[i] - (bits[i - first] - both), n[other] - (count[other] - both))
+            for j in other[most >= similar.overlap(n[other], n[i])].tolist():
+                if group[i] != group[j]:
+                    out.append((i, j))
+                    group[group == group[i]] = group[j]
+    return out, group
+
+
 def tile_links(sets: list[np.ndarray], similar: Similar) -> list[tuple[int, int]]:
     """Links among the sets of a tile that suffice to connect all that are linked."""
     n = np.array([len(x) for x in sets], np.int64)
@@ -356,6 +386,18 @@ def tile_links(sets: list[np.ndarray], similar: Similar) -> list[tuple[int, int]
     return links
 
 
+def sketch(chosen: DataFrame) -> np.ndarray:
+    """A bit array of fixed size, set where a k of chosen falls: rows of other texts need
+    not be shuffled to find that they aren't wanted. It is merged on the executors, and
+    however full it is, the join that follows decides."""
+    slot = F.col("k").bitwiseAND(F.lit(SKETCH - 1))
+    words = chosen.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("v"))
+    got = words.toPandas()
+    out = np.zeros(SKETCH // 64, np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable
     by links, its own included), n_links (verified links of its set; within a tile only
@@ -372,7 +414,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = part_labels(parts)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
 
-    made = materialize(rows.select("k", "text").mapInArrow(lambda it: features(it, width), "kind int, a bigint, b bigint, n bigint"))
+    made = materialize(rows.select("k", "text").mapInArrow(lambda it: features(it, width), "kind int, a bigint, b bigint, n bigint, bits binary"))
     of_row = made.filter("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("sid"), "n")
     often = made.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= FEW).orderBy(F.desc("n"), "a").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r.a for r in often.select("a").collect()], np.int64).view(np.uint64)))
@@ -382,18 +424,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     members = found.filter("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("sid")).distinct()
 
-    # Of every set that is a candidate, one row's text.
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")).distinct())
-    first = of_row.groupBy("sid").agg(F.min("k").alias("k")).join(needed, "sid", "left_semi")
-
-    def sets(batches):
-        for batch in batches:
-            got = list(shingle_sets(texts_of(batch), width))
-            maps = [bitmap(x, width_of(len(x))).tobytes() for x in got]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([len(x) for x in got], pa.int64()), pa.array(maps, pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["sid", "n", "bits", "shingles"])
-
-    of_set = materialize(rows.select("k", "text").join(first, "k").dropDuplicates(["sid"]).select("sid", "text").mapInArrow(sets, "sid bigint, n bigint, bits binary, shingles binary"))
-    side = lambda x, *more: of_set.select(F.col("sid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
+    # First the bitmaps of all candidate pairs, a few hundred bytes each.
+    maps = made.filter("kind = 0").groupBy(F.col("b").alias("sid")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    side = lambda df, x, *more: df.select(F.col("sid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
 
     def passing(batches):
         for batch in batches:
@@ -402,30 +435,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             keep = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], names=["a", "b"])
 
-    likely = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(passing, "a bigint, b bigint")
+    def forest(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "ascending"), ("sid", "ascending")])
+        sid, n = t.column("sid").to_pylist(), np.array(t.column("n").to_pylist(), np.int64)
+        got, tree = likely_forest([np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()], n, similar)
+        a, b = [min(sid[i], sid[j]) for i, j in got], [max(sid[i], sid[j]) for i, j in got]
+        return pa.table([pa.array([t.column("tile")[0].as_py()] * len(got), pa.int64()), pa.array([int(tree[i]) for i, _ in got], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tile", "tree", "a", "b"])
+
+    # Tiles are tested by bitmaps too; a few pairs connect all that may be linked in one.
+    forests = materialize(members.join(maps, "sid").groupBy("tile").applyInArrow(forest, "tile bigint, tree bigint, a bigint, b bigint"))
+    passed = pairs.join(side(maps, "a", "n", "bits"), "a").join(side(maps, "b", "n", "bits"), "b").mapInArrow(passing, "a bigint, b bigint")
+    likely = materialize(passed.unionByName(forests.select("a", "b")).distinct())
+
+    # Then, of every set that is still a candidate, one row's text; it is shorter than its shingles.
+    def texts(needed: DataFrame) -> DataFrame:
+        """sid and text of each set in needed."""
+        chosen = materialize(of_row.groupBy("sid").agg(F.min("k").alias("k")).join(needed, "sid", "left_semi"))
+        some = spark.sparkContext.broadcast(sketch(chosen))
+
+        def maybe(batches):
+            for batch in batches:
+                slot = (np.asarray(batch.column("k")).view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)
+                yield batch.filter(pa.array((some.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+
+        near = rows.select("k", "text").mapInArrow(maybe, "k bigint, text string")
+        return materialize(near.join(chosen, "k").dropDuplicates(["k"]).select("sid", "text"))
 
     def verified(batches):
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("shingles_a", "shingles_b"))
-            ok = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(len(np.intersect1d(x, y, True)) >= similar.overlap(len(x), len(y)))
-            keep = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], names=["a", "b"])
-
-    linked = materialize(likely.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").mapInArrow(verified, "a bigint, b bigint"))
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                text = [[t or b"" for t in part.column(c).cast(pa.binary()).to_pylist()] for c in ("text_a", "text_b")]
+                ok = [len(np.intersect1d(x, y, True)) >= similar.overlap(len(x), len(y)) for x, y in zip(*(shingle_sets(t, width) for t in text))]
+                keep = part.filter(pa.array(ok, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([keep.column("a"), keep.column("b")], names=["a", "b"])
+
+    of_set = texts(likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    links = materialize(likely.join(side(of_set, "a", "text"), "a").join(side(of_set, "b", "text"), "b").mapInArrow(verified, "a bigint, b bigint"))
+    group = components(links)
 
     def of_tile(t: pa.Table) -> pa.Table:
         sid = t.column("sid").to_pylist()
-        got = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        got = list(shingle_sets([x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()], width))
         links = [(sid[i], sid[j]) for i, j in tile_links(got, similar)]
         return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
-    in_tiles = members.join(of_set.select("sid", "shingles"), "sid").groupBy("tile").applyInArrow(of_tile, "a bigint, b bigint")
-    links = materialize(linked.unionByName(in_tiles).distinct())
-
-    group = components(links)
+    # A tile of which a connecting pair failed may hold links that its forest doesn't show.
+    end = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    apart = ~F.col("c_a").eqNullSafe(F.col("c_b")) | F.col("c_a").isNull()
+    open_ = forests.join(end("a"), "a", "left").join(end("b"), "b", "left").filter(apart).select("tile", "tree").distinct()
+    nodes = forests.join(open_, ["tile", "tree"], "left_semi").select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    nodes = materialize(nodes)
+    if not nodes.isEmpty():
+        # Tokens of one family lead to the same sets again and again. A family, all that
+        # forests connect, is compared once, in pairs of blocks of bounded text.
+        family = components(forests).select(F.col("node").alias("sid"), F.col("component").alias("family"))
+        order = Window.partitionBy("family").orderBy("n", "sid")
+        sized = nodes.join(family, "sid").join(maps.select("sid", "n"), "sid").withColumn("block", F.floor(F.sum("n").over(order) / TILE))
+        sized = sized.withColumn("last", F.max("block").over(Window.partitionBy("family"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        tiled = materialize(sized.select("sid", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("tile")))
+        in_tiles = tiled.join(texts(nodes), "sid").groupBy("tile").applyInArrow(of_tile, "a bigint, b bigint")
+        links = materialize(links.unionByName(in_tiles).distinct())
+        group = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
     ids = rows.select("doc_id", "k").join(of_row.distinct(), "k", "left")
     of_sid = ids.join(group.select(F.col("node").alias("sid"), "component"), "sid", "left").join(degree, "sid", "left")
