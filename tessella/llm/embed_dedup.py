@@ -401,13 +401,14 @@ def audit_recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", v
     blocks = query.withColumn("block", F.floor(F.col("vec_id") / (every * block)))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, x = vectors_of(left.column("v")), vectors_of(right.column("v"))
+        q, x = vectors_of(left.column("v")), vectors_of(right.column("v_"))
         n = np.zeros(len(q), np.int64)
         for i in range(0, len(x), block):
             n += (q @ x[i : i + block].T >= least).sum(1)
         return pa.table([left.column("vec_id"), pa.array(n - 1)], names=["vec_id", "true_links"])
 
-    salted = rows.select("label", "v").join(blocks.select("label", "block").distinct(), "label")
-    true = blocks.groupBy("label", "block").cogroup(salted.groupBy("label", "block")).applyInArrow(count, "vec_id bigint, true_links bigint")
+    of = blocks.select("label", "block").distinct()
+    salted = rows.select("label", "v").join(of, "label").select(F.col("label").alias("label_"), F.col("block").alias("block_"), F.col("v").alias("v_"))
+    true = blocks.groupBy("label", "block").cogroup(salted.groupBy("label_", "block_")).applyInArrow(count, "vec_id bigint, true_links bigint")
     both = true.join(found.select("vec_id", "n_links"), "vec_id")
     return both.agg(F.count("*").alias("queries"), F.sum("true_links").alias("links"), F.sum(F.least("true_links", "n_links")).alias("found")).withColumn("recall", F.when(F.col("links") > 0, F.col("found") / F.col("links")).otherwise(F.lit(1.0)))
