@@ -12,7 +12,7 @@ from .decontam import decontaminate, n_hit
 from .embed_dedup import embedding_dedup
 from .jaccard import jaccard_components
 from .langid import fit, held_out, identify
-from .license_scan import scan_licenses
+from .license_scan import PHRASES, TEMPLATES, place, scan_licenses
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -102,6 +102,40 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_audit(pages, replica, files)
 
 
+def op2_sql() -> str:
+    values = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+    sentences = [(t, label, sentence.split(), must) for t, (label, sentence, must) in enumerate(TEMPLATES)]
+    words = values((t, i, w) for t, _, sentence, _ in sentences for i, w in enumerate(sentence))
+    musts = values((t, place(sentence, m.split()), len(m.split()), m) for t, _, sentence, must in sentences for m in must)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+phrase(label, words, k) AS (VALUES {values((label, p, len(p.split())) for label, p in PHRASES)}),
+name(t, label) AS (VALUES {values((t, label) for t, label, _, _ in sentences)}),
+tw(t, p, word) AS (VALUES {words}), must(t, p, k, words) AS (VALUES {musts}),
+known AS (SELECT word FROM tw UNION SELECT unnest(string_split(words, ' ')) FROM phrase),
+p AS (SELECT rid, i - 1 AS i, word FROM (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM known)),
+df AS (SELECT word, count(DISTINCT rid) AS n FROM p GROUP BY word),
+ix AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS r FROM (SELECT DISTINCT t, word FROM tw) LEFT JOIN df USING (word)) WHERE r <= 6),
+post AS (SELECT t, p, word FROM tw JOIN ix USING (t, word)),
+size AS (SELECT t, count(*) AS size FROM post GROUP BY t),
+top AS (SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY n, word) AS r FROM (SELECT DISTINCT rid, word FROM p WHERE word IN (SELECT word FROM ix)) JOIN df USING (word)) WHERE r <= 24),
+cand AS (SELECT rid, t, i - post.p AS s, count(*) AS n FROM p JOIN top USING (rid, word) JOIN post USING (word) GROUP BY ALL HAVING count(*) >= 3),
+held AS (SELECT c.rid, c.t, c.s, c.n, count(*) AS musts, count(*) FILTER (c.s + m.p >= 0 AND array_to_string(list_slice(w, c.s + m.p + 1, c.s + m.p + m.k), ' ') = m.words) AS good
+         FROM cand c JOIN d USING (rid) JOIN must m ON m.t = c.t GROUP BY ALL),
+match AS (SELECT rid, label, least(n / size::DOUBLE, 1.0) AS score FROM held JOIN size USING (t) JOIN name USING (t) WHERE musts = good),
+base AS (SELECT rid, label, i FROM p JOIN phrase ON starts_with(words, word || ' ') JOIN d USING (rid) WHERE array_to_string(list_slice(w, i + 1, i + k), ' ') = words),
+b AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
+a AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM match) GROUP BY rid),
+m AS (SELECT rid, max(score) AS score FROM match GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, CAST(CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(score, 0.0) END AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid) LEFT JOIN m USING (rid)
+"""
+
+
 OP7_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -171,4 +205,4 @@ FROM a JOIN b USING (file, no) WHERE hash_a <> hash_b
 """
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_embedding_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_language_id, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
-ORACLES: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": op2_sql(), "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
