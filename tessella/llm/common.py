@@ -47,6 +47,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 512):
+    """The same rows in batches of at most `rows`, so that Python copies of a batch's
+    texts stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _rotl(x: int, r: int) -> int:
     return ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
 

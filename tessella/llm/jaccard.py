@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, part_labels, partitions, squeeze, unsqueeze
+from .common import components, materialize, part_labels, partitions, sliced, squeeze, unsqueeze
 from .hashing import prefix_sums, run_hashes, word_starts
 
 SHINGLE = 5
@@ -34,7 +34,7 @@ FREQUENT = 1 << 18
 FEW = 16
 #: Shingles in one side of a tile.
 TILE = 1 << 19
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Bits of the sketch of wanted rows.
 SKETCH = 1 << 23
 RUN = 8 << 20
@@ -148,7 +148,7 @@ def features(batches, width: int):
         kind, none = np.ones(len(n), np.int32), np.zeros(len(n), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(token), pa.array(none), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.binary())], schema=FEATURES)
 
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for k, x in zip(batch.column("k").to_pylist(), shingle_sets(texts_of(batch), width)):
             sid = set_id(x)
@@ -193,7 +193,7 @@ def deal(batches, frequent: np.ndarray, similar: Similar, labels: list[int], wid
             rows.append((labels[p], squeeze(head + sid[who].tobytes() + n[who].astype("<u4").tobytes() + each.astype("<u4").tobytes() + place[pick].astype("<u4").tobytes() + low)))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for x in shingle_sets(texts_of(batch), width):
             if not len(x):
                 continue

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 STRETCH = 128
 HIDDEN = 8
-BATCH = 8192
+BATCH = 4096
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def label(batches):
         net = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             got = batch.column(text_col if held else "_text").to_pylist()
             at = [i for i, t in enumerate(got) if net is not None and t and LETTER.search(t)]
             lang, score = ["und"] * len(got), [0.0] * len(got)
