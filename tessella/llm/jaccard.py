@@ -11,7 +11,9 @@ tested by hashed bitmaps of the shingles: the bits that one has and the other la
 bound the overlap from above. What passes is counted exactly on the sorted arrays. Of
 a tile only as many pairs are counted as connect all that its bitmaps let pass; if one
 of them fails, all that they connect is compared exactly. So components are exact, and the
-links of a group of copies stay fewer than twice its size.
+listed links of a group of copies stay fewer than twice its size. Links join sets of one
+component, so all links are then counted, not listed: the sets of a component that a tile
+has touched are compared in pairs of blocks of bounded text, each pair of sets once.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -386,6 +389,64 @@ def tile_links(sets: list[np.ndarray], similar: Similar) -> list[tuple[int, int]
     return links
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], rows: int = 256):
+    """For each run of `rows` sets of a, where it starts and its intersections with all of
+    b, exactly. Tokens that many sets have are multiplied as matrices, others looked up."""
+    flat = np.concatenate([*a, *b])
+    size = np.array([len(x) for x in (*a, *b)], np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    token, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    cut = int(size[: len(a)].sum())
+    at, to = which[:cut], which[cut:]
+    own, other = owner[:cut], owner[cut:] - len(a)
+    often = 16 * times >= len(size)
+    column = np.cumsum(often) - 1
+    kind = np.float32 if size.max() < 1 << 24 else np.float64
+    right = np.zeros((len(b), int(often.sum())), kind)
+    right[other[often[to]], column[to[often[to]]]] = 1
+    few = ~often[to]
+    order = np.argsort(to[few], kind="stable")
+    held = other[few][order]
+    n = np.bincount(to[few], minlength=len(token))
+    first = np.cumsum(n) - n
+    for i in range(0, len(a), rows):
+        p, q = np.searchsorted(own, (i, i + rows))
+        count = min(rows, len(a) - i)
+        tok, row = at[p:q], own[p:q] - i
+        left = np.zeros((count, right.shape[1]), kind)
+        left[row[often[tok]], column[tok[often[tok]]]] = 1
+        both = (left @ right.T).astype(np.int64)
+        tok, row = tok[~often[tok]], row[~often[tok]]
+        ends = np.cumsum(n[tok])
+        start = 0
+        while start < len(tok):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + (1 << 22), "right")))
+            m = n[tok[start:stop]]
+            spot = np.repeat(first[tok[start:stop]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            both += np.bincount(np.repeat(row[start:stop], m) * len(b) + held[spot], minlength=count * len(b)).reshape(count, len(b))
+            start = stop
+        yield i, both
+
+
+def linked_copies(a: list[np.ndarray], copies_a: np.ndarray, b: list[np.ndarray] | None, copies_b: np.ndarray | None, similar: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows, by the copies of the sets, each set of a is linked to in b, and each
+    of b in a; without b, each set of a to the others of a."""
+    alone = b is None
+    if alone:
+        b, copies_b = a, copies_a
+    na, nb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    for i, both in overlaps(a, b):
+        rows = np.arange(i, i + len(both))
+        ok = both >= similar.overlap(na[rows, None], nb[None])
+        if alone:
+            ok[rows - i, rows] = False
+        of_a[rows] = ok @ copies_b
+        of_b += copies_a[rows] @ ok
+    return of_a, of_b
+
+
 def sketch(chosen: DataFrame) -> np.ndarray:
     """A bit array of fixed size, set where a k of chosen falls: rows of other texts need
     not be shuffled to find that they aren't wanted. It is merged on the executors, and
@@ -400,8 +461,8 @@ def sketch(chosen: DataFrame) -> np.ndarray:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable
-    by links, its own included), n_links (verified links of its set; within a tile only
-    those that connect it), row_key (xxhash64 of id and text, the same for repeated
+    by links, its own included), n_links (other rows linked directly, those with an equal
+    set among them), row_key (xxhash64 of id and text, the same for repeated
     rows) and kept (true for the row_key that stands for its component, and for rows
     without shingles). Sets are the distinct shingles of `width` words, split
     at ASCII white space, with ASCII letters in lower case. Null and empty texts have
@@ -497,9 +558,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         in_tiles = tiled.join(texts(nodes), "sid").groupBy("tile").applyInArrow(of_tile, "a bigint, b bigint")
         links = materialize(links.unionByName(in_tiles).distinct())
         group = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
+    # Links that aren't listed join sets of one forest. Components that a forest touches and
+    # that miss a pair are counted whole, each pair of their sets in one pair of blocks.
+    copies = of_row.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    group = group.select(F.col("node").alias("sid"), "component")
+    sizes = group.groupBy("component").agg(F.count("*").alias("sets"))
+    listed = links.join(group, links["a"] == group["sid"]).groupBy("component").agg(F.count("*").alias("links"))
+    touched = group.join(forests.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("component").distinct()
+    missing = materialize(touched.join(sizes, "component").join(listed, "component").filter(2 * F.col("links") < F.col("sets") * (F.col("sets") - 1)).select("component"))
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("x")).select("x.*")
+    both = both.join(group, "sid").join(missing, "component", "left_anti")
+    near = both.join(copies.select(F.col("sid").alias("other"), "copies"), "other").select("sid", F.col("copies").alias("near"))
+    if not missing.isEmpty():
+        order = Window.partitionBy("component").orderBy("n", "sid")
+        blocks = materialize(group.join(missing, "component", "left_semi").join(copies, "sid").withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(TILE >> 12))).over(order) / TILE)))
+        spans = blocks.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        one = spans.select("component", F.col("block").alias("one"), "hi")
+        two = spans.select("component", F.col("block").alias("two"), "lo")
+        tiled = materialize(one.join(two, "component").filter((F.col("one") <= F.col("two")) & (100 * F.col("hi") >= percent * F.col("lo"))).select("component", "one", "two"))
+        sides = [blocks.withColumnRenamed("block", "one").join(tiled, ["component", "one"]).withColumn("second", F.lit(False))]
+        sides.append(blocks.withColumnRenamed("block", "two").join(tiled.filter("one < two"), ["component", "two"]).withColumn("second", F.lit(True)))
+        placed = sides[0].unionByName(sides[1]).join(of_set, "sid").select("component", "one", "two", "second", "sid", "copies", "text")
+
+        def count(t: pa.Table) -> pa.Table:
+            parts = [t.filter(pc.equal(t.column("second"), x)) for x in (False, True)]
+            got = [list(shingle_sets([x or b"" for x in p.column("text").cast(pa.binary()).to_pylist()], width)) for p in parts]
+            n = [np.array(p.column("copies").to_pylist(), np.int64) for p in parts]
+            if len(parts[1]):
+                of = linked_copies(got[0], n[0], got[1], n[1], similar)
+            else:
+                of = linked_copies(got[0], n[0], None, None, similar)[0], np.zeros(0, np.int64)
+            return pa.table([pa.concat_arrays([c for p in parts for c in p.column("sid").chunks]), pa.array(np.concatenate(of))], names=["sid", "near"])
+
+        near = near.unionByName(placed.groupBy("component", "one", "two").applyInArrow(count, "sid bigint, near bigint"))
+    near = near.groupBy("sid").agg(F.sum("near").alias("near"))
+    degree = copies.join(near, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     ids = rows.select("doc_id", "k").join(of_row.distinct(), "k", "left")
-    of_sid = ids.join(group.select(F.col("node").alias("sid"), "component"), "sid", "left").join(degree, "sid", "left")
+    of_sid = ids.join(group, "sid", "left").join(degree, "sid", "left")
     of_sid = of_sid.withColumn("component", F.coalesce("component", "sid"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k"))
     named = of_sid.filter("n > 0").groupBy("component").agg(first.alias("first"))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,36 @@ def test_jaccard(spark, rows, few, monkeypatch):
     assert len({r.row_key for r in kept}) == len({find(i) for i, s in enumerate(sets) if s})
 
 
+@pytest.mark.parametrize("tile", [1 << 19, 1500])
+def test_jaccard_counts_every_link(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = ["nothing like it at all here", None, ""]
+    for _ in range(60):
+        w = list(base)
+        for i in rng.sample(range(120), rng.randint(0, 5)):
+            w[i] = f"x{rng.randint(0, 99)}"
+        texts.append(" ".join(w[: rng.choice([120, 120, 105, 95])]))
+    texts += [texts[5].upper(), texts[5], texts[9]]
+    rows = [(i, t, "x", "y", i) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[0]]
+    sets = [shingles(r[1]) for r in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = Counter((r[0], sum(linked(a, b) for b in sets) - bool(a)) for r, a in zip(rows, sets))
+    assert len({n for _, n in want}) > 9 and max(n for _, n in want) > 25
+    assert Counter((r.doc_id, r.n_links) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.append(rng.choice(400, rng.integers(1, 60)), rng.integers(0, 1 << 60, 3))).astype(np.uint64) for _ in range(90)]
+    sets += [np.unique(np.append(x[:30], np.uint64(7))) for x in sets[:30]]
+    a, b = sets[:70], sets[60:]
+    got = np.concatenate([x for _, x in jaccard.overlaps(a, b, 16)])
+    assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup(none).count() == substring_dedup(none).count() == jaccard_components(none).count() == 0
