@@ -1,9 +1,8 @@
 """License scans with a positional index of rare words, in DataFrame operations only.
 
 The document frequency of every licence word is counted over all documents. Each
-template is indexed by its rarest words: word -> (template, place). Of a file the
-index words that are rarest in the corpus are looked up; a word found at place i
-that stands at place p of a template votes for an occurrence that starts at i - p,
+template is indexed by its rarest words: word -> (template, place). All index words
+of a file are looked up, at every place; a word found at place i that stands at place p of a template votes for an occurrence that starts at i - p,
 so intersecting the postings by relative position is counting equal votes.
 Candidates with enough votes are verified: the template's mandatory phrases must
 stand at their places. Short phrases are found the same way, by the position of
@@ -72,7 +71,7 @@ def place(sentence: list[str], phrase: list[str]) -> int:
     raise ValueError(f"{' '.join(phrase)!r} isn't in its template")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, index_words: int = 6, file_words: int = 24, votes: int = 3) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, index_words: int = 6, votes: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_words, places (array of struct<label, start>, all
     places of the phrases, starts counted in words), matches (array of struct<label,
     start, score> of verified templates, score being the share of its index words that
@@ -91,12 +90,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for w in sorted(set(sentence), key=rarity)[:index_words]:
             postings.setdefault(w, []).extend((t, i) for i, x in enumerate(sentence) if x == w)
     rarest = {label: min(p, key=rarity) for label, p in phrases}
-    index = sorted(postings, key=rarity)
-    wanted = sorted({*index, *rarest.values()})
+    wanted = sorted({*postings, *rarest.values()})
 
     words = F.col("words")
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*wanted))
-    rows = rows.withColumn("hits", hits).withColumn("top", F.slice(F.array_intersect(literal_array(index), words), 1, file_words))
+    rows = rows.withColumn("hits", hits)
 
     def places(label: str, phrase: list[str]) -> Column:
         at = phrase.index(rarest[label])
@@ -115,7 +113,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = F.when(h["w"] == w, F.array(*(F.struct(F.lit(t).alias("t"), (h["i"] - p).cast("int").alias("s")) for t, p in at))).otherwise(out)
         return out
 
-    cast = F.array_sort(F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains("top", h["w"])), votes_of)))
+    cast = F.array_sort(F.flatten(F.transform("hits", votes_of)))
     start = F.expr("named_struct('t', -1, 's', 0, 'n', 0, 'out', cast(array() as array<struct<t:int,s:int,n:int>>))")
 
     def count(acc: Column, x: Column) -> Column:

@@ -36,6 +36,16 @@ def test_license_scan(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_license_scan_of_all_templates(spark):
+    every = " and ".join(sentence for _, sentence, _ in TEMPLATES)
+    rows = [(0, every)] + [(i, dict((t[0], t[1]) for t in TEMPLATES)["mit"]) for i in range(1, 30)]
+    got = {r.doc_id: r.matches for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sorted((m.label, m.score) for m in got[0]) == sorted((label, 1.0) for label, _, _ in TEMPLATES)
+    w = words(every)
+    assert all(w[m.start : m.start + 5] == sentence.split()[:5] for m in got[0] for label, sentence, _ in TEMPLATES if label == m.label)
+    assert all([(m.label, m.score) for m in got[i]] == [("mit", 1.0)] for i in range(1, 30))
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = fit(docs, sample=150, epochs=6)
