@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import materialize, table
 from tessella.llm.decontam import decontaminate
 from tessella.llm.jaccard import jaccard_components
-from tessella.llm.langid import fit, identify
+from tessella.llm.langid import fit, identify, lettered
 from tessella.llm.packing import pack_documents
 from tessella.llm.substring_dedup import substring_dedup
 
@@ -19,9 +19,11 @@ REST = COLUMNS[1:]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language can be told of, those without a letter, go; a missing
-    lang becomes the predicted one."""
+    lang becomes the predicted one, 'und' if there was nothing to learn from."""
     docs = docs.select(*COLUMNS)
-    told = identify(docs, fit(docs), keep=REST).filter("lang_pred <> 'und'")
+    net = fit(docs)
+    told = identify(docs, net, keep=REST)
+    told = told.filter("lang_pred <> 'und'") if net is not None else told.mapInArrow(lettered, told.schema)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

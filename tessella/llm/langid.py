@@ -219,6 +219,13 @@ def fit(docs: DataFrame, sample: int = 600, per_doc: int = 4, epochs: int = 8, i
     return net
 
 
+def lettered(batches):
+    """The rows whose text has a letter."""
+    for batch in sliced(batches):
+        ok = [bool(t and LETTER.search(t)) for t in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array(ok, pa.bool_()))
+
+
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' id as doc_id, the columns named in keep, lang_pred and score (the pooled
     probability). A text that is null or has no letter, and any text if there was

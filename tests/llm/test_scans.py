@@ -3,11 +3,13 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import language_id
 from tessella.llm.chat import chained, format_replies, loss_text, read_back
 from tessella.llm.decontam import decontaminate, n_hit
 from tessella.llm.langid import fit, identify
@@ -58,6 +60,12 @@ def test_language_id(spark):
     assert fit(docs.filter("lang = 'xx'")) is None
 
 
+def test_pipeline_keeps_unlabelled_documents(spark):
+    docs = spark.createDataFrame([(1, "clean text", None, "s", 10), (2, "12 !?", None, "s", 5), (3, None, None, "s", 0), (None, "é", None, None, 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = language_id(spark, docs, "").collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "clean text", "und", "s", 10), (None, "é", "und", None, 1)])
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a<b|c[d\\e\\l \\\\|> <|end|> é\n"), (1, 1, "assistant", "\\"), (1, 2, "assistant", None), (2, 0, None, "only"), (None, 5, "assistant", "x"), (1, 3, "user|><|", "[INST]")]
     got = format_replies(chained(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")))
