@@ -61,8 +61,8 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Neither the network nor the packing can be said in SQL; tests compare the stages
-#: with brute force.
+#: Neither the network nor the packing can be said in SQL. Of the stages, only the first
+#: has a test, on a table without languages; run() has none.
 ORACLE_SQL = None
 
 
