@@ -10,6 +10,7 @@ points, from 0; spans are half-open.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cyrillic and Greek letters and the Latin ones that they pass for.
-LOOKALIKES = dict(zip("аеорсхуѕіјкмнтοεικνρταβγσυχ", "aeopcxysijkmhtoeikvptabyoux"))
+LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "т": "t", "ο": "o", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "α": "a", "β": "b", "γ": "y", "σ": "o", "υ": "u", "χ": "x"}
 # Digits and signs and the letters that they stand for.
-LEET = dict(zip("4@83691!|05$7+2", "aabeggiiiossttz"))
+LEET = {"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "9": "g", "1": "i", "!": "i", "|": "i", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
 # Characters that split words, besides white space.
 SEPARATORS = " \t._-*'\"`^~,;:()[]{}<>/\\|"
 # Characters without width, dropped before folding.
@@ -73,15 +74,26 @@ def ranges(chars) -> str:
     return "[" + "".join(out) + "]"
 
 
+def several(many: dict[str, str]) -> Column:
+    """The characters that become several, as a map; one literal, however long."""
+    return F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+
+
 def fold(c: Column, leet: bool = True) -> Column:
     """fold_text() of a column of single characters."""
     one, to, many = fold_table(leet)
-    table = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
     number = F.ascii(c) - 0xAC00
     jamo = lambda first, n, i: F.substring(F.lit("".join(chr(first + k) for k in range(n))), (i + 1).cast("int"), F.lit(1))
     tail = F.when(number % 28 == 0, F.lit("")).otherwise(jamo(0x11A7, 28, number % 28))
     hangul = F.concat(jamo(0x1100, 19, F.floor(number / 588)), jamo(0x1161, 21, F.floor(number % 588 / 28)), tail)
-    return F.when(c.rlike(ranges(many)), F.element_at(table, c)).when(c.rlike(r"[\x{ac00}-\x{d7a3}]"), hangul).otherwise(F.translate(c, one, to))
+    return F.when(c.rlike(ranges(many)), F.element_at(several(many), c)).when(c.rlike(r"[\x{ac00}-\x{d7a3}]"), hangul).otherwise(F.translate(c, one, to))
+
+
+@lru_cache(2)
+def uneven(leet: bool) -> str:
+    """The class of the characters that become none or several."""
+    one, to, many = fold_table(leet)
+    return ranges({*many, *one[len(to) :], *map(chr, HANGUL)})
 
 
 def characters(text: Column) -> Column:
@@ -89,40 +101,65 @@ def characters(text: Column) -> Column:
 
 
 def is_separator(c: Column) -> Column:
-    return c.isin(*sorted(set(SEPARATORS) | set(SPACES)))
+    """Of a column of single characters."""
+    return F.lit("".join(sorted(set(SEPARATORS) | set(SPACES)))).contains(c)
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that the optimizer neither copies into their uses nor into filters that
+    it pushes down, as it can't look through a generator: each is computed once a row."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def places(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def folded(df: DataFrame, text: str = "text", leet: bool = True) -> DataFrame:
-    """Adds `folded`: array of struct<c, i>, the folded characters and their sources."""
-    simple = F.transform(characters(F.col(text)), lambda c, i: F.struct(fold(c, leet).alias("f"), i.alias("i")))
-    df = df.withColumn("folded", simple)
-    each = lambda x: F.transform(characters(x["f"]), lambda c: F.struct(c.alias("c"), x["i"].alias("i")))
-    return df.withColumn("folded", F.flatten(F.transform("folded", each)))
+    """Adds `folded`, the folded characters, and `source`, the place that each comes from;
+    that is null where every character becomes one, so places are the same. Such texts,
+    nearly all, are translated as a whole."""
+    one, to, many = fold_table(leet)
+    plain = F.octet_length(text) == F.length(text)
+    odd = F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(uneven(leet))
+    df = settled(df, _even=plain | ~odd)
+    each = F.transform(characters(F.col(text)), lambda c, i: F.transform(characters(fold(c, leet)), lambda f: F.struct(f.alias("c"), i.alias("i"))))
+    df = settled(df, _pairs=F.when(~F.col("_even"), F.flatten(each)))
+    whole = characters(F.translate(text, one, to))
+    return settled(df, folded=F.when(F.col("_even"), whole).otherwise(F.transform("_pairs", lambda x: x["c"])), source=F.transform("_pairs", lambda x: x["i"])).drop("_even", "_pairs")
 
 
-def normalized(df: DataFrame, text: str = "text", leet: bool = True) -> DataFrame:
+def normalized(df: DataFrame, text: str = "text", leet: bool = True, keep_folded: bool = False) -> DataFrame:
     """Adds `boundary` and `evasion`: struct<text, src array<struct<s, e>>>. Null texts
-    have null forms."""
+    have null forms. With keep_folded the folded characters, their sources and `flat`,
+    the folded text, stay. Runs are only looked for in texts that have one to shrink."""
     df = folded(df, text, leet)
-    at = lambda j: F.get("folded", j)["c"]
-    keep = F.filter("folded", lambda x, j: ~is_separator(x["c"]) | F.coalesce(~is_separator(at(j - 1)), F.lit(False)))
-    shown = lambda x: F.when(is_separator(x["c"]), F.lit(" ")).otherwise(x["c"])
-    df = df.withColumn("_flat", F.array_join(F.transform("folded", lambda x: x["c"]), "")).withColumn("_keep", keep)
-    same = lambda j, k: F.coalesce(at(j) == at(k), F.lit(False))
-
-    def collapsed(x: Column, j: Column) -> Column:
-        first = ~same(j, j - 1)
-        long = (same(j, j + 1) & same(j, j + 2)) | (same(j, j - 1) & same(j, j - 2)) | (same(j, j - 1) & same(j, j + 1))
-        run = F.length(F.regexp_extract(F.substring(F.col("_flat"), j + 1, F.length("_flat")), r"(?s)^(.)\1*", 0))
-        end = F.when(first & long, F.get("folded", j + run - 1)["i"] + 1).otherwise(x["i"] + 1)
-        ok = ~is_separator(x["c"]) & (first | ~long)
-        return F.when(ok, F.struct(x["c"].alias("c"), x["i"].alias("s"), end.alias("e")))
-
-    df = df.withColumn("_lean", F.filter(F.transform("folded", collapsed), lambda x: x.isNotNull()))
-    boundary = F.struct(F.array_join(F.transform("_keep", shown), "").alias("text"), F.transform("_keep", lambda x: F.struct(x["i"].alias("s"), (x["i"] + 1).alias("e"))).alias("src"))
-    evasion = F.struct(F.array_join(F.transform("_lean", lambda x: x["c"]), "").alias("text"), F.transform("_lean", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("src"))
+    at = lambda j: F.get("folded", j)
+    source = lambda j: F.coalesce(F.get("source", j), j)
+    n = F.size("folded")
+    gap = lambda j: F.coalesce(is_separator(at(j)), F.lit(True))
+    df = settled(df, _keep=F.filter(places(n), lambda j: ~gap(j) | ~gap(j - 1)), flat=F.array_join("folded", ""))
+    df = settled(df, _long=F.col("flat").rlike(r"(?s)(.)\1\1"))
+    df = settled(df, _runs=F.when(F.col("_long"), F.filter(places(n), lambda j: (j == 0) | (at(j) != at(j - 1)))))
+    one = lambda c, s, e: F.struct(c.alias("c"), s.alias("s"), e.alias("e"))
+    none = F.array().cast("array<struct<c:string,s:int,e:int>>")
+
+    def lean(j: Column, k: Column) -> Column:
+        """What the evasion form keeps of run k, which begins at j."""
+        end = F.coalesce(F.get("_runs", k + 1), n)
+        short = F.transform(F.sequence(j, end - 1), lambda m: one(at(j), source(m), source(m) + 1))
+        return F.when(is_separator(at(j)), none).when(end - j >= 3, F.array(one(at(j), source(j), source(end - 1) + 1))).otherwise(short)
+
+    df = settled(df, _lean=F.flatten(F.transform("_runs", lean)))
+    wide = lambda js: F.transform(js, lambda j: F.struct(source(j).alias("s"), (source(j) + 1).alias("e")))
+    gaps = ranges(sorted(set(SEPARATORS) | set(SPACES)))
+    boundary = F.struct(F.regexp_replace(F.regexp_replace("flat", f"^{gaps}+", ""), f"{gaps}+", " ").alias("text"), wide("_keep").alias("src"))
+    shrunk = F.struct(F.array_join(F.transform("_lean", lambda x: x["c"]), "").alias("text"), F.transform("_lean", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("src"))
+    plain = F.struct(F.regexp_replace("flat", f"{gaps}+", "").alias("text"), wide(F.filter("_keep", lambda j: ~gap(j))).alias("src"))
     known = F.col(text).isNotNull()
-    return df.withColumn("boundary", F.when(known, boundary)).withColumn("evasion", F.when(known, evasion)).drop("folded", "_flat", "_keep", "_lean")
+    out = settled(df, boundary=F.when(known, boundary), evasion=F.when(known, F.when(F.col("_long"), shrunk).otherwise(plain))).drop("_keep", "_long", "_runs", "_lean")
+    return out if keep_folded else out.drop("folded", "source", "flat")
 
 
 def span(src: Column, start: Column, end: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import string
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .normalize import places, settled
+
 # The patterns.
 GUARD = "[a-z0-9]+"
+GUARD_CHARACTERS = string.ascii_lowercase + string.digits
 HOST = r"[\p{L}0-9'-]+"
 LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 LETTERS2 = r"[\p{L}\p{Nl}\p{No}]{2,}"
@@ -21,18 +27,10 @@ def tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
-def token_spans(text: Column, pattern: str) -> Column:
-    """array<struct<token, start, end>>, in code points. Tokens are cut out one after the
-    other, so a token's place is the sum of what came before."""
-    rest = F.split(text, pattern, -1)
-    found = tokens(text, pattern)
-    pairs = F.arrays_zip(found.alias("token"), F.slice(rest, 1, F.size(found)).alias("gap"))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<token:string,start:int,end:int>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["token"])
-        one = F.struct(x["token"].alias("token"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+def with_token_spans(df: DataFrame, chars: str, out: str, alphabet: str = GUARD_CHARACTERS) -> DataFrame:
+    """Adds out: array<struct<token, start, end>>, the runs of characters of `alphabet`,
+    from chars, an array of characters; places count from 0."""
+    mine = lambda j: F.coalesce(F.lit(alphabet).contains(F.get(chars, j)), F.lit(False))
+    df = settled(df, _starts=F.filter(places(F.size(chars)), lambda j: mine(j) & ~mine(j - 1)))
+    found = F.arrays_zip(tokens(F.array_join(chars, ""), f"[{re.escape(alphabet)}]+").alias("token"), F.col("_starts").alias("start"))
+    return settled(df, **{out: F.transform(found, lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), (t["start"] + F.length(t["token"])).alias("end")))}).drop("_starts")

@@ -3,29 +3,37 @@
 Candidates come from the boundary form (bounds kept), the evasion form (if the
 original characters show obfuscation) and near misses of severe terms. Locale, the
 first candidate of a span, shelter by allowed phrases and words, and the surface's
-policy then decide. Every step is a DataFrame of its own, keyed by msg_id.
+policy then decide. Messages are normalized and searched in narrow stages that carry
+what later steps ask of the message; only hits are shuffled, by message and block of
+the message, and decided there.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import SEPARATORS, SPACES, normalized, ranges, span, term_form
-from ..functions.tokens import GUARD, token_spans
+from ..functions.normalize import SEPARATORS, SPACES, characters, normalized, ranges, settled, span, term_form
+from ..functions.tokens import GUARD, with_token_spans
 from ..sources.lexicon import action_name, default_policy, without_terms
-from .match import at_boundary, fuzzy, in_locale, occurrences
+from .match import PART, at_boundary, dealt, fuzzy, in_locale, occurrences, row_bytes
 
 GAP = ranges(sorted(set(SEPARATORS) | set(SPACES)))
 # Fixed value: from this length on, one separator inside a term counts as evasion.
 SPLIT_LENGTH = 5
+#: Characters of a message whose hits are decided together.
+BLOCK = 1024
 
+KEY = ("o_start", "o_end", "term")
+#: A hit, in the order in which one span's hits are taken.
+FIELDS = (*KEY, "pass_ord", "scan", "term_ord", "tier")
 
-def kept_once(df: DataFrame) -> DataFrame:
-    """Stages that several others read: computed once, spilled to disk where memory is
-    short, computed again where an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+def compiled(df: DataFrame, limit: int = PART) -> DataFrame:
+    """A list of at most `limit` bytes as a literal relation, whose size the optimizer
+    knows; a larger one as it is."""
+    size = df.agg(F.sum(row_bytes(df)).alias("n")).first().n or 0
+    return df.sparkSession.createDataFrame(df.toArrow()) if size <= limit else df
 
 
 def shows_evasion(text: Column, start: Column, end: Column, term: Column) -> Column:
@@ -38,83 +46,140 @@ def shows_evasion(text: Column, start: Column, end: Column, term: Column) -> Col
     return (F.length(chars) > F.length(term)) & (~chars.rlike(GAP) | short | split)
 
 
+def bounded() -> Column:
+    """Of a hit in the boundary form: whether it has the bounds that it needs."""
+    return at_boundary(F.col("mode"), F.col("left"), F.col("right"))
+
+
+def disguised() -> Column:
+    """Of a hit in the evasion form: whether the original shows why it is one."""
+    return shows_evasion(F.col("text"), F.col("o_start"), F.col("o_end"), F.col("term"))
+
+
 class Guard:
     """A lexicon compiled for matching. terms: term_ord, text, tier, mode, locales;
     allow: word; policy: surface, tier, action, mask_char."""
 
     def __init__(self, terms: DataFrame, allow: DataFrame | None = None, policy: DataFrame | None = None, fuzzy_tiers: tuple[int, ...] = (3, 4), fuzzy_length: int = 5, fold_allow: bool = False):
         self.spark = terms.sparkSession
-        self.terms = term_form(terms).select("term_ord", "term", "tier", "mode", "locales")
+        self.terms = compiled(term_form(terms).select("term_ord", "term", "tier", "mode", "locales"))
         allow = allow if allow is not None else self.spark.createDataFrame([], "word string")
         allow = allow.select(F.lower(F.trim("word")).alias("word")).filter("word <> '' and not startswith(word, '#')")
         if fold_allow:
             allow = term_form(allow, "word", "folded").select(F.col("folded").alias("word"))
-        self.allow = without_terms(allow.distinct(), self.terms)
-        self.policy = policy if policy is not None else default_policy(self.spark)
+        self.allow = compiled(without_terms(allow.distinct(), self.terms))
+        self.longest = self.allow.agg(F.max(F.length("word")).alias("n")).first().n or 0
+        self.policy = compiled(policy if policy is not None else default_policy(self.spark))
         self.fuzzy_tiers, self.fuzzy_length = fuzzy_tiers, fuzzy_length
 
     def forms(self, messages: DataFrame) -> DataFrame:
-        """messages: msg_id, text, surface, locale."""
-        return kept_once(normalized(messages.select("msg_id", "text", "surface", "locale")))
+        """messages: msg_id, text, surface, locale. Adds the forms, `flat` (the folded text)
+        and `tokens` (token, o_start, o_end)."""
+        df = normalized(dealt(messages.select("msg_id", "text", "surface", "locale")), keep_folded=True)
+        df = with_token_spans(df, "folded", "_tokens")
+        source = lambda j: F.coalesce(F.get("source", j), j)
+        placed = F.transform("_tokens", lambda t: F.struct(t["token"].alias("token"), source(t["start"]).alias("o_start"), (source(t["end"] - 1) + 1).alias("o_end")))
+        return settled(df, tokens=placed, even=F.col("source").isNull()).drop("_tokens", "folded", "source")
+
+    def tokens(self, forms: DataFrame) -> DataFrame:
+        """msg_id, token, start: the tokens of the boundary form, in its places."""
+        chars = settled(forms, chars=characters(F.col("boundary.text"))).select("msg_id", "chars")
+        return with_token_spans(chars, "chars", "t").select("msg_id", F.explode("t").alias("t")).select("msg_id", "t.token", "t.start")
 
     def words(self, forms: DataFrame) -> DataFrame:
-        """msg_id, tok_ord, token, o_start, o_end of the boundary form."""
-        found = forms.select("msg_id", F.col("boundary.src").alias("src"), F.posexplode(token_spans(F.col("boundary.text"), GUARD)).alias("tok_ord", "t"))
-        o = span(F.col("src"), F.col("t.start"), F.col("t.end"))
-        return kept_once(found.select("msg_id", "tok_ord", F.col("t.token").alias("token"), o["s"].alias("o_start"), o["e"].alias("o_end")))
-
-    def _placed(self, forms: DataFrame, form: str, terms: DataFrame) -> DataFrame:
-        """Occurrences in a form, with the original span."""
-        hits = occurrences(forms.select("msg_id", F.col(f"{form}.text").alias("text")), terms)
-        o = span(F.col("src"), F.col("start"), F.col("end"))
-        return hits.join(forms.select("msg_id", F.col(f"{form}.src").alias("src")), "msg_id").withColumn("o", o).withColumn("o_start", F.col("o.s")).withColumn("o_end", F.col("o.e")).drop("o", "src")
+        """msg_id, surface, locale, tok_ord, token, o_start, o_end."""
+        return forms.select("msg_id", "surface", "locale", F.posexplode("tokens").alias("tok_ord", "t")).select("msg_id", "surface", "locale", "tok_ord", "t.*")
+
+    def _found(self, forms: DataFrame, terms: DataFrame, *views: str) -> DataFrame:
+        """Occurrences in the forms named, with pass_ord (0 for the boundary form, 1 for the
+        evasion form), the original span, scan (their place in a scan that finds by end,
+        and longer ones first) and what forms tells of the message."""
+        carried = ("msg_id", "surface", "locale", "text", "flat", "even", F.when(~F.col("even"), F.col("tokens")).alias("odd_tokens"))
+        view = [F.struct(F.lit(int(v == "evasion")).alias("pass_ord"), F.col(f"{v}.src").alias("_src"), F.col(f"{v}.text").alias("_form")) for v in views]
+        hits = occurrences(forms.select(*carried, F.inline(F.array(*view))), terms, text="_form", deal=False)
+        hits = settled(hits, _o=span(F.col("_src"), F.col("start"), F.col("end")))
+        scan = F.struct(F.col("end").alias("a"), F.col("start").alias("b"))
+        return hits.withColumn("o_start", F.col("_o.s")).withColumn("o_end", F.col("_o.e")).withColumn("scan", scan).drop("_src", "_o")
 
     def boundary_hits(self, forms: DataFrame) -> DataFrame:
-        found = self._placed(forms, "boundary", self.terms)
-        return found.filter(at_boundary(F.col("mode"), F.col("left"), F.col("right")))
+        return self._found(forms, self.terms, "boundary").filter(bounded())
 
     def evasion_hits(self, forms: DataFrame) -> DataFrame:
-        found = self._placed(forms, "evasion", self.terms).join(forms.select("msg_id", "text"), "msg_id")
-        return found.filter(shows_evasion(F.col("text"), F.col("o_start"), F.col("o_end"), F.col("term")))
+        return self._found(forms, self.terms, "evasion").filter(disguised())
 
-    def fuzzy_hits(self, words: DataFrame) -> DataFrame:
+    def near_words(self, words: DataFrame) -> DataFrame:
+        """words one edit away from severe terms; a word may have several."""
         core = self.terms.filter(F.col("tier").isin(*self.fuzzy_tiers) & (F.length("term") >= self.fuzzy_length))
-        free = words.filter(F.length("token") >= self.fuzzy_length).join(self.allow, F.col("token") == F.col("word"), "left_anti")
-        first = Window.partitionBy("msg_id", "tok_ord").orderBy("term_ord")
-        return fuzzy(free, core).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-
-    def candidates(self, forms: DataFrame, words: DataFrame) -> DataFrame:
-        """All candidates: msg_id, pass_ord, scan_ord (place in the scan), term_ord, o_start,
-        o_end, term, tier, locales. The scan finds by end, and longer ones first."""
-        columns = ("msg_id", "pass_ord", "scan", "term_ord", "o_start", "o_end", "term", "tier", "locales")
-        by_end = F.struct(F.col("end").alias("a"), F.col("start").alias("b"))
-        a = self.boundary_hits(forms).withColumn("pass_ord", F.lit(0)).withColumn("scan", by_end)
-        b = self.evasion_hits(forms).withColumn("pass_ord", F.lit(1)).withColumn("scan", by_end)
-        c = self.fuzzy_hits(words).withColumn("pass_ord", F.lit(2)).withColumn("scan", F.struct(F.col("tok_ord").alias("a"), F.lit(0).alias("b")))
-        return a.select(*columns).unionByName(b.select(*columns)).unionByName(c.select(*columns))
-
-    def live(self, forms: DataFrame, words: DataFrame) -> DataFrame:
-        """Candidates of the message's locale, the first of each span and term."""
-        seen = self.candidates(forms, words).join(forms.select("msg_id", "locale"), "msg_id").filter(in_locale(F.col("locales"), F.col("locale")))
-        first = Window.partitionBy("msg_id", "o_start", "o_end", "term").orderBy("pass_ord", "scan", "term_ord")
-        return kept_once(seen.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "locales", "locale"))
+        return fuzzy(words.filter(F.length("token") >= self.fuzzy_length), core).join(self.allow, F.col("token") == F.col("word"), "left_anti")
+
+    def fuzzy_hits(self, words: DataFrame) -> DataFrame:
+        """Of each word, the first term that it is near."""
+        near = self.near_words(words)
+        first = near.groupBy("msg_id", "tok_ord").agg(F.min_by(F.struct(*(c for c in near.columns if c not in ("msg_id", "tok_ord"))), "term_ord").alias("x"))
+        return first.select("msg_id", "tok_ord", "x.*")
+
+    def host(self) -> Column:
+        """The token around a hit; null if it can't be an allowed word. In even texts places
+        of characters and of what they become are the same, so it is read off there."""
+        if not self.longest:
+            return F.lit(None).cast("string")
+        start, end, most = F.col("o_start"), F.col("o_end"), F.lit(self.longest)
+        before = F.substring("flat", F.greatest(start - most, F.lit(0)) + 1, F.least(start, most))
+        inner = F.substring("flat", start + 1, end - start)
+        around = F.concat(F.regexp_extract(before, f"({GUARD[:-1]}*)$", 1), inner, F.regexp_extract(F.substring("flat", end + 1, most), f"^({GUARD[:-1]}*)", 1))
+        odd = F.get(F.filter("odd_tokens", lambda t: (t["o_start"] <= start) & (end <= t["o_end"])), F.lit(0))["token"]
+        return F.when(~F.col("even"), odd).when(inner.rlike(f"^{GUARD}$"), around)
+
+    def searched(self, forms: DataFrame) -> DataFrame:
+        """Candidates and shelters from one search of both forms, and from near misses:
+        msg_id, surface, hit and shelter, one of which is null."""
+        terms = self.terms.withColumn("allowed", F.lit(False))
+        phrases = self.allow.select(F.lit(None).cast("bigint").alias("term_ord"), F.col("word").alias("term"), F.lit(None).cast("int").alias("tier"), F.lit("sub").alias("mode"), F.lit(None).cast("array<string>").alias("locales"), F.lit(True).alias("allowed"))
+        found = self._found(forms, terms.unionByName(phrases), "boundary", "evasion")
+        shelters = F.col("allowed") & (F.col("pass_ord") == 0)
+        found = found.filter(shelters | (~F.col("allowed") & (((F.col("pass_ord") == 0) & bounded()) | ((F.col("pass_ord") == 1) & disguised()))))
+        found = found.withColumn("host", F.when(~F.col("allowed"), self.host()))
+        near = self.near_words(self.words(forms)).withColumn("pass_ord", F.lit(2)).withColumn("scan", F.struct(F.col("tok_ord").alias("a"), F.lit(0).alias("b")))
+        near = near.withColumn("allowed", F.lit(False)).withColumn("host", F.lit(None).cast("string"))
+        here = in_locale(F.col("locales"), F.col("locale")).alias("here")
+        columns = ("msg_id", "surface", "pass_ord", "scan", "term_ord", "o_start", "o_end", "term", "tier", "allowed", "host")
+        every = found.select(*columns, here).unionByName(near.select(*columns, here))
+        known = self.allow.select(F.col("word").alias("host"), F.lit(True).alias("_known"))
+        every = every.join(known, "host", "left").withColumn("host", F.when(F.col("_known") & (F.col("host") != F.col("term")), F.col("host")))
+        hit = F.struct(*FIELDS, "here", "host")
+        phrase = F.struct((F.col("o_start") - F.col("o_end")).alias("n"), F.col("scan").alias("p_scan"), F.col("term").alias("phrase"), F.col("o_start").alias("p_start"), F.col("o_end").alias("p_end"))
+        return every.select("msg_id", "surface", F.when(~F.col("allowed"), hit).alias("hit"), F.when(F.col("allowed"), phrase).alias("shelter"))
 
     def shelters(self, forms: DataFrame) -> DataFrame:
-        """Allowed phrases in the boundary form: msg_id, phrase, p_start, p_end, p_scan."""
-        found = self._placed(forms, "boundary", self.allow.select(F.col("word").alias("term")))
-        return found.select("msg_id", F.col("term").alias("phrase"), F.col("o_start").alias("p_start"), F.col("o_end").alias("p_end"), F.struct(F.col("end").alias("a"), F.col("start").alias("b")).alias("p_scan"))
-
-    def rescued(self, forms: DataFrame, words: DataFrame, live: DataFrame) -> DataFrame:
-        """live hits that are part of something allowed: msg_id, o_start, o_end, term, by. The
-        longest phrase that is longer than the hit, or else the word around it."""
-        key = ["msg_id", "o_start", "o_end", "term"]
-        inside = live.join(self.shelters(forms), "msg_id").filter("p_start <= o_start and o_end <= p_end and p_end - p_start > o_end - o_start and phrase <> term")
-        rank = F.struct((F.col("p_start") - F.col("p_end")).alias("n"), "p_scan")
-        phrase = inside.groupBy(*key).agg(F.min_by("phrase", rank).alias("phrase"))
-        hosts = words.select("msg_id", "tok_ord", "token", F.col("o_start").alias("t_start"), F.col("o_end").alias("t_end"))
-        host = live.join(hosts, "msg_id").filter("t_start <= o_start and o_end <= t_end").groupBy(*key).agg(F.min_by("token", "tok_ord").alias("host"))
-        host = host.filter("host <> term").join(self.allow, F.col("host") == F.col("word"), "left_semi")
-        return phrase.join(host, key, "full").select(*key, F.coalesce("phrase", "host").alias("by"))
+        """Allowed phrases in the boundary form: msg_id, phrase, p_start, p_end."""
+        found = self._found(forms, self.allow.select(F.col("word").alias("term")), "boundary")
+        return found.select("msg_id", F.col("term").alias("phrase"), F.col("o_start").alias("p_start"), F.col("o_end").alias("p_end"))
+
+    def resolved(self, forms: DataFrame) -> DataFrame:
+        """Candidates of the message's locale, the first of each span and term: msg_id,
+        surface, pass_ord, scan, term_ord, o_start, o_end, term, tier, and by: the longest
+        allowed phrase around it that is longer, or else the allowed word, or null. Hits
+        and phrases meet by message and block, phrases in every block that they touch."""
+        of = lambda c: F.floor(c / BLOCK)
+        first, last = F.coalesce("hit.o_start", "shelter.p_start"), F.coalesce(F.col("hit.o_start"), F.greatest("shelter.p_end", F.col("shelter.p_start") + 1) - 1)
+        met = self.searched(forms).withColumn("block", F.explode(F.sequence(of(first), of(last)))).groupBy("msg_id", "block")
+        rows = met.agg(F.first("surface", ignorenulls=True).alias("surface"), F.array_sort(F.collect_list("hit")).alias("hits"), F.array_sort(F.collect_list("shelter")).alias("shelters")).filter(F.size("hits") > 0)
+        near = F.filter("hits", lambda x: x["pass_ord"] == 2)
+        earlier = lambda x: F.exists("_near", lambda y: (y["scan"] == x["scan"]) & (y["term_ord"] < x["term_ord"]))
+        rows = settled(settled(rows, _near=near), _mine=F.filter("hits", lambda x: x["here"] & ~((x["pass_ord"] == 2) & earlier(x))))
+        again = lambda x, y: F.coalesce((x["o_start"] == y["o_start"]) & (x["o_end"] == y["o_end"]) & (x["term"] == y["term"]), F.lit(False))
+        live = rows.select("msg_id", "surface", "shelters", F.explode(F.filter("_mine", lambda x, i: ~again(x, F.get("_mine", i - 1)))).alias("x"))
+        x = F.col("x")
+        around = F.filter("shelters", lambda p: (p["p_start"] <= x["o_start"]) & (x["o_end"] <= p["p_end"]) & (-p["n"] > x["o_end"] - x["o_start"]) & (p["phrase"] != x["term"]))
+        by = F.coalesce(F.get(around, F.lit(0))["phrase"], x["host"])
+        return settled(live, by=by).select("msg_id", "surface", *(x[c].alias(c) for c in FIELDS), "by")
+
+    def live(self, forms: DataFrame) -> DataFrame:
+        return self.resolved(forms).drop("by")
+
+    def rescued(self, forms: DataFrame) -> DataFrame:
+        """Hits that something allowed shelters: msg_id, o_start, o_end, term, by."""
+        return self.resolved(forms).filter("by is not null").select("msg_id", *KEY, "by")
 
     def verdicts(self, messages: DataFrame) -> DataFrame:
         """One row per message: msg_id, text, action (a name), error_id, filtered, hits
@@ -122,23 +187,18 @@ class Guard:
         (sorted), blocked, clean. msg_id is unique; a null text is allowed and stays
         null; an unknown surface has the built-in public policy; a tier without an action
         is allowed; null locales match terms for all locales only."""
-        forms = self.forms(messages)
-        words = self.words(forms)
-        live = self.live(forms, words)
-        saved = self.rescued(forms, words, live)
-        key = ["msg_id", "o_start", "o_end", "term"]
-        kept = live.join(saved, key, "left_anti")
-        # Policy rows by surface: at most a few.
+        found = self.resolved(self.forms(messages))
         known = self.policy.select("surface").distinct().withColumn("known", F.lit(True))
         public = default_policy(self.spark).filter("surface = 'public'").select(F.lit("\0").alias("surface"), "tier", "action", "mask_char")
         policy = self.policy.unionByName(public)
-        where = messages.select("msg_id", "surface").join(known, "surface", "left").select("msg_id", F.when(F.col("known"), F.col("surface")).otherwise(F.lit("\0")).alias("surface"))
-        acted = kept.join(where, "msg_id").join(policy, ["surface", "tier"]).filter("action <> 0")
+        where = F.when(F.col("known"), F.col("surface")).otherwise(F.lit("\0"))
+        acted = found.join(known, "surface", "left").withColumn("surface", where).drop("known").join(policy, ["surface", "tier"], "left")
+        free = F.col("by").isNull()
+        counts = free & (F.col("action") != 0)
         hit = F.struct("pass_ord", "scan", "term_ord", F.col("o_start").alias("start"), F.col("o_end").alias("end"), "term", "tier", "action")
-        by_msg = acted.groupBy("msg_id").agg(F.max("action").alias("worst"), F.array_sort(F.collect_list(hit)).alias("hits"), F.first("mask_char").alias("mask_char"))
+        by_msg = acted.groupBy("msg_id").agg(F.max(F.when(free, F.col("action"))).alias("worst"), F.array_sort(F.collect_list(F.when(counts, hit))).alias("hits"), F.max(F.when(counts, F.col("mask_char"))).alias("mask_char"), F.array_sort(F.collect_set("by")).alias("rescued"))
         by_msg = by_msg.withColumn("hits", F.transform("hits", lambda h: F.struct(*(h[c].alias(c) for c in ("start", "end", "term", "tier", "action")))))
-        allowed = saved.groupBy("msg_id").agg(F.array_sort(F.collect_set("by")).alias("rescued"))
-        out = messages.select("msg_id", "text").join(by_msg, "msg_id", "left").join(allowed, "msg_id", "left")
+        out = messages.select("msg_id", "text").join(by_msg, "msg_id", "left")
         worst = F.coalesce("worst", F.lit(0))
         none = F.expr("cast(array() as array<struct<start:int,end:int,term:string,tier:int,action:int>>)")
         hits = F.coalesce("hits", none)
@@ -149,12 +209,17 @@ class Guard:
 
 
 def masked(text: Column, hits: Column, mask: Column) -> Column:
-    """text with every character of a hit whose action is mask replaced."""
-    spans = F.filter(hits, lambda h: h["action"] == 1)
-    where = F.array_distinct(F.flatten(F.transform(spans, lambda h: F.sequence(h["start"], h["end"] - 1))))
-    # One character at most is put in place of one, so offsets hold.
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(where, i), mask).otherwise(c)), "")
+    """text with every character of a hit whose action is mask replaced by the first
+    character of mask."""
+    spans = F.array_sort(F.transform(F.filter(hits, lambda h: h["action"] == 1), lambda h: F.struct(h["start"].alias("s"), h["end"].alias("e"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s, e = F.greatest(acc["at"], x["s"]), F.greatest(acc["at"], x["e"])
+        clear = F.substring(text, acc["at"] + 1, s - acc["at"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], clear, F.repeat(F.substring(mask, 1, 1), e - s)).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def verdict_json(verdict: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import normalized
 from ..functions.stats import wilson
 from ..functions.text import evasions, strip_markup
-from ..functions.tokens import GUARD, LATIN_DIGITS, LETTERS, token_spans, tokens
+from ..functions.tokens import LATIN_DIGITS, LETTERS, tokens
 from ..operators import audit, findings, inference, lint, screen
 from ..operators.match import occurrences
 from ..operators.verdict import Guard
@@ -60,8 +60,8 @@ def fold_leet(spark, sf_dir):
 @query
 def tokenize_guard(spark, sf_dir):
     """Tokens of the boundary form and how often each occurs."""
-    found = forms(spark, sf_dir).select(F.explode(token_spans(F.col("boundary.text"), GUARD)).alias("t"))
-    return found.groupBy(F.col("t.token").alias("token")).agg(F.count("*").alias("n"), F.sum(F.col("t.start").cast("long")).alias("starts"))
+    found = guard(spark).tokens(forms(spark, sf_dir))
+    return found.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("starts"))
 
 
 @query
@@ -94,41 +94,40 @@ def match_sub(spark, sf_dir):
 
 def staged(spark, sf_dir):
     g = guard(spark)
-    f = g.forms(fx.messages(spark, sf_dir))
-    return g, f, g.words(f)
+    return g, g.forms(fx.messages(spark, sf_dir))
 
 
 @query
 def match_locale(spark, sf_dir):
     """Live candidates: of the message's locale, the first of each span and term."""
-    g, f, w = staged(spark, sf_dir)
-    return g.live(f, w).select("msg_id", "pass_ord", "term", "tier", "o_start", "o_end")
+    g, f = staged(spark, sf_dir)
+    return g.live(f).select("msg_id", "pass_ord", "term", "tier", "o_start", "o_end")
 
 
 @query
 def evasion_hits(spark, sf_dir):
-    g, f, _ = staged(spark, sf_dir)
+    g, f = staged(spark, sf_dir)
     return g.evasion_hits(f).select("msg_id", "term", "o_start", "o_end")
 
 
 @query
 def fuzzy_hits(spark, sf_dir):
-    g, _, w = staged(spark, sf_dir)
-    return g.fuzzy_hits(w).select("msg_id", "token", "term", "o_start", "o_end")
+    g, f = staged(spark, sf_dir)
+    return g.fuzzy_hits(g.words(f)).select("msg_id", "token", "term", "o_start", "o_end")
 
 
 @query
 def phrase_shelter(spark, sf_dir):
     """Allowed words and phrases in the boundary form, in original places."""
-    g, f, _ = staged(spark, sf_dir)
+    g, f = staged(spark, sf_dir)
     return g.shelters(f).select("msg_id", "phrase", "p_start", "p_end")
 
 
 @query
 def token_rescue(spark, sf_dir):
     """Hits that something allowed shelters, and by what."""
-    g, f, w = staged(spark, sf_dir)
-    return g.rescued(f, w, g.live(f, w))
+    g, f = staged(spark, sf_dir)
+    return g.rescued(f)
 
 
 def verdict(spark, sf_dir, surface: str) -> DataFrame:
@@ -326,7 +325,7 @@ def topk_others(spark, sf_dir):
 
 @query
 def locale_block_rate(spark, sf_dir):
-    languages = spark.createDataFrame(fx.LANGUAGES, "tag string, language string")
+    languages = fx.local(spark, fx.LANGUAGES, tag=fx.TEXT, language=fx.TEXT)
     return findings.refusal_by_language(fx.probes(spark, sf_dir), votes(spark, sf_dir), languages)
 
 
@@ -357,7 +356,7 @@ def candidate_report(spark, sf_dir):
 def hitting_set(spark, sf_dir):
     """The terms that a greedy search infers, in order."""
     chosen = inference.explanation(inference.candidates(observations(spark, sf_dir)))
-    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "step int, candidate string")
+    return fx.local(spark, list(enumerate(chosen)), step=fx.INT, candidate=fx.TEXT)
 
 
 @query

@@ -3,6 +3,7 @@ both Spark and SQL are given."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,13 @@ PREFIXES = ["", "un", "re", "en"]
 SUFFIXES = ["", "s", "ed", "ing", "tion"]
 EXCEPTIONS = ["ouring", "out"]
 LOCALES = ["en", "de", "fr", "es"]
-MESSAGE = "msg_id bigint, text string, surface string, locale string"
+TEXT, LONG, INT = pa.string(), pa.int64(), pa.int32()
+
+
+def local(spark: SparkSession, values: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A literal relation, whose size the optimizer knows."""
+    rows = list(zip(*values)) or [()] * len(columns)
+    return spark.createDataFrame(pa.table({n: pa.array(list(x), t) for (n, t), x in zip(columns.items(), rows)}))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,15 +74,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def column(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+    return local(spark, [(v,) for v in values], **{name: TEXT})
 
 
 def numbered(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{name} string, {name}_ord int")
+    return local(spark, [(v, i) for i, v in enumerate(values)], **{name: TEXT, f"{name}_ord": INT})
 
 
 def terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, "term_ord bigint, text string, tier int, mode string, locales array<string>")
+    return local(spark, TERMS, term_ord=LONG, text=TEXT, tier=INT, mode=TEXT, locales=pa.list_(TEXT))
 
 
 def allow(spark: SparkSession) -> DataFrame:
@@ -87,7 +94,7 @@ def messages(spark: SparkSession, sf_dir: str, surface: str = "public") -> DataF
     numbered down from -1."""
     locale = F.element_at(F.array(*map(F.lit, LOCALES)), (F.pmod("conv_id", F.lit(4)) + 1).cast("int"))
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text", F.lit(surface).alias("surface"), locale.alias("locale"))
-    extra = spark.createDataFrame([(-1 - i, t, surface, "en") for i, t in enumerate(MESSAGES)], MESSAGE)
+    extra = local(spark, [(-1 - i, t, surface, "en") for i, t in enumerate(MESSAGES)], msg_id=LONG, text=TEXT, surface=TEXT, locale=TEXT)
     return turns.unionByName(extra)
 
 

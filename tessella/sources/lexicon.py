@@ -7,6 +7,7 @@ actions are 0 allow, 1 mask, 2 block and 3 review, and the larger number wins.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ def action_name(c: Column) -> Column:
 
 def default_policy(spark: SparkSession) -> DataFrame:
     rows = [(s, i + 1, a, "*") for s, actions in POLICIES.items() for i, a in enumerate(actions)]
-    return spark.createDataFrame(rows, "surface string, tier int, action int, mask_char string")
+    surface, tier, action, mask = (list(c) for c in zip(*rows))
+    return spark.createDataFrame(pa.table({"surface": surface, "tier": pa.array(tier, pa.int32()), "action": pa.array(action, pa.int32()), "mask_char": mask}))
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
