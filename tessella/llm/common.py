@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, obj):
+    """A broadcast of an object whose classes executors needn't have: what it gives there
+    is what received() makes of it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+
+def received(broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def sliced(batches, rows: int = 512):
     """The same rows in batches of at most `rows`, so that Python copies of a batch's
     texts stay small."""

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import received, shipped
 from .hashing import prefix_sums, run_hashes, word_starts
 from .sync import merged, mixed
 
@@ -167,8 +168,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits nothing; other columns are left out. Benchmark text beyond `limit` bytes is
     searched in further passes, whose results are merged per row."""
     spark = docs.sparkSession
-    if "text" in keep and text_col != "text":
-        raise ValueError("a kept column would clash with the text")
+    clash = {"doc_id", "spans", "items", "n_words", "spans_before", "items_before"} & set(keep)
+    if clash or ("text" in keep and text_col != "text"):
+        raise ValueError(f"kept columns would clash with the result's: {sorted(clash) or ['text']}")
     every = packs(benchmark, item_col, item_text, limit)
     first, second = next(every), next(every, None)
     held = tuple(keep) if second is None or "text" in keep else (*keep, "text")
@@ -177,8 +179,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = "n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
 
     def scan(source: DataFrame, pack: list, columns: str, more: tuple[str, ...]) -> DataFrame:
-        searches = spark.sparkContext.broadcast([Search(k, p) for k, p in sorted(patterns(pack, win).items())])
-        return source.mapInArrow(lambda batches: scanned(batches, searches.value, more), columns + found)
+        searches = shipped(spark, [Search(k, p) for k, p in sorted(patterns(pack, win).items())])
+        return source.mapInArrow(lambda batches: scanned(batches, received(searches), more), columns + found)
 
     out = scan(rows, first, kinds, held)
     while second is not None:

@@ -1,9 +1,9 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors count as one when they are equal (and of one label). A label's vectors are
-split by k-means, level by level, until every shard is small; a vector goes to its
-two nearest centroids when they are about as near, so shards overlap. In each shard
-a flat graph is built: every node searches its neighbours greedily from the medoid,
+split by k-means, level by level, until every shard is small; a vector also goes to
+every centroid whose border with its nearest is at most half a link away, so shards
+overlap and of any link both ends share one. In each shard a flat graph is built: every node searches its neighbours greedily from the medoid,
 and robust pruning keeps those that no kept neighbour is much closer to. The
 adjacency lists of all shards are united. Then every vector is a query, in each
 shard that it is in: a greedy search from the medoid, which, once it is in range,
@@ -11,7 +11,13 @@ expands every node in range. A knot of vectors so dense that its centroids fall
 together can't be split by place; larger ones are compared exactly, in tiles of
 bounded size. Pairs are verified in double precision and counted in one of the shards
 that both are in, so no task returns more than a count and a link or two for each of
-its vectors. The recall is audited against brute force over a stated set of queries.
+its vectors. The recall is audited against brute force over a stated set of queries;
+if it is too low, everything is compared exactly.
+
+Where vectors fill so many dimensions that borders this wide would put most of them in
+most shards, narrower ones are taken: three, or one and a half, standard deviations of
+a link of random direction. A cell that even these can't split is compared exactly
+unless it is very large, so there alone links can be lost, and the audit shows it.
 """
 
 from __future__ import annotations
@@ -26,7 +32,12 @@ from .common import components, materialize
 SHARD = 2048
 CHILDREN = 8
 SAMPLE = 512
-NEAR = 1.05
+#: Cells of so many shards' size are compared exactly if they can't be split.
+EXACT = 64
+#: A split must leave at most this share in one child, and put a vector in so many at most.
+SHARE, SPREAD = 0.7, 3.0
+#: Queries that the audit takes at most, and the recall below which all is compared.
+AUDIT, ENOUGH = 4096, 0.9
 #: Centroids nearer than this are one: no link of dense vectors is cut.
 KNOT = 0.6
 DEGREE = 16
@@ -57,6 +68,29 @@ def apart(c: np.ndarray) -> np.ndarray:
     return c[kept]
 
 
+def members(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
+    """(vectors, centroids): whether the border between the vector's nearest centroid and
+    this one is at most `margin` from the vector."""
+    s = x @ c.T
+    near = s.argmax(1)
+    between = np.linalg.norm(c[:, None] - c[None], axis=2)[near]
+    return s.max(1)[:, None] - s <= margin * between + 1e-9
+
+
+def border(x: np.ndarray, c: np.ndarray, least: float, small: bool) -> float:
+    """The margin for a cell, judged by its sample: half a link's length, so that one end of
+    any link across a border is in both shards, or less where that doesn't split the
+    cell; -1 for a cell to be compared exactly."""
+    if len(c) == 1:
+        return -1.0
+    link = np.sqrt(2 - 2 * least)
+    for margin in (0.5, min(0.5, 1.5 / np.sqrt(x.shape[1])), min(0.5, 0.75 / np.sqrt(x.shape[1]))):
+        m = members(x, c, margin * link)
+        if m.mean(0).max() <= SHARE and m.sum(1).mean() <= SPREAD:
+            return float(margin * link)
+    return -1.0 if small else float(margin * link)
+
+
 def prune(x: np.ndarray, node: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Robust pruning of many nodes at once. cand: (n, c) indexes, -1 for none, no repeats.
     A kept neighbour drops the candidates that are alpha times closer to it than to
@@ -199,7 +233,7 @@ def vectors_of(column) -> np.ndarray:
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def shards(reps: DataFrame, limit: int) -> DataFrame:
+def shards(reps: DataFrame, least: float, limit: int) -> DataFrame:
     """reps: rep, label, v (unit vectors), copies. Returns shard, size and the rest; a rep is
     in one shard or in several that overlap. None is larger than `limit` but knots.
     Each level fits a few centroids on a bounded sample of every cell that is too
@@ -224,12 +258,13 @@ def shards(reps: DataFrame, limit: int) -> DataFrame:
             x = vectors_of(t.column("v"))
             k = min(CHILDREN, max(2, -(-3 * t.column("size")[0].as_py() // limit)))
             c = apart(kmeans(x, k, seed=seed))  # noqa: B023
-            return pa.table([pa.array([t.column("cell")[0].as_py()]), pa.array([c.ravel().tolist()], pa.list_(pa.float64()))], names=["cell", "centroids"])
+            margin = border(x, c, least, t.column("size")[0].as_py() <= EXACT * limit)
+            return pa.table([pa.array([t.column("cell")[0].as_py()]), pa.array([c.ravel().tolist()], pa.list_(pa.float64())), pa.array([margin])], names=["cell", "centroids", "margin"])
 
         mixed = cells.join(big, "cell")
         order = F.xxhash64("rep", F.lit(level))
         sample = mixed.filter(F.pmod(order, F.lit(1 << 30)) < F.lit(1 << 30) * F.lit(2.0 * SAMPLE) / F.col("size")).withColumn("turn", F.row_number().over(Window.partitionBy("cell").orderBy(order, "rep"))).filter(F.col("turn") <= SAMPLE)
-        found = materialize(sample.select("cell", "size", "v").groupBy("cell").applyInArrow(centroids, "cell bigint, centroids array<double>"))
+        found = materialize(sample.select("cell", "size", "v").groupBy("cell").applyInArrow(centroids, "cell bigint, centroids array<double>, margin double"))
 
         def assign(batches):
             for batch in batches:
@@ -238,18 +273,17 @@ def shards(reps: DataFrame, limit: int) -> DataFrame:
                 cell = np.array(batch.column("cell").to_pylist(), np.int64)
                 x = vectors_of(batch.column("v"))
                 child, row, knot = [], [], []
-                cents = batch.column("centroids")
+                cents, margins = batch.column("centroids"), batch.column("margin")
                 for value in np.unique(cell):
                     at = np.flatnonzero(cell == value)
-                    c = np.array(cents[int(at[0])].as_py()).reshape(-1, x.shape[1])
-                    d = np.sqrt(np.maximum(0, 2 - 2 * (x[at] @ c.T)))
-                    best = np.argsort(d, 1)[:, :2]
-                    d = np.take_along_axis(d, best, 1)
-                    for k in range(best.shape[1]):
-                        ok = d[:, k] <= NEAR * d[:, 0] if k else np.ones(len(at), bool)
-                        row.append(at[ok])
-                        child.append(best[ok, k])
-                        knot.append(np.full(int(ok.sum()), len(c) == 1))
+                    margin = margins[int(at[0])].as_py()
+                    if margin < 0:
+                        mine, to = np.arange(len(at)), np.zeros(len(at), np.int64)
+                    else:
+                        mine, to = np.nonzero(members(x[at], np.array(cents[int(at[0])].as_py()).reshape(-1, x.shape[1]), margin))
+                    row.append(at[mine])
+                    child.append(to)
+                    knot.append(np.full(len(mine), margin < 0))
                 row, child, knot = (np.concatenate(y) for y in (row, child, knot))
                 names = ["cell", "child", "knot", "rep", "label", "copies", "v"]
                 yield pa.RecordBatch.from_arrays([batch.column("cell").take(pa.array(row)), pa.array(child, pa.int64()), pa.array(knot), *(batch.column(y).take(pa.array(row)) for y in names[3:])], names=names)
@@ -292,10 +326,16 @@ def told(rep: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, mine
     return pa.table([pa.array(kind), pa.array(np.concatenate([rep[at], rep[tail]])), pa.array(np.concatenate([near[at].astype(np.int64), rep[low[tail]]]))], names=["kind", "a", "b"])
 
 
-def near_links(reps: DataFrame, least: float, limit: int = SHARD) -> DataFrame:
+def near_links(reps: DataFrame, least: float, limit: int = SHARD, exact: bool = False) -> DataFrame:
     """reps: rep, label, v, copies. Rows kind, a, b; kind 0: b rows equal to reps that a is
-    linked to, to be summed; kind 1: links between reps that connect all that are."""
-    placed = materialize(shards(reps, limit))
+    linked to, to be summed; kind 1: links between reps that connect all that are. With
+    exact, labels of more than `limit` aren't split but compared in tiles. No rows for
+    no reps; equal reps are one."""
+    if exact:
+        size = reps.groupBy("label").agg(F.count("*").alias("size"))
+        placed = materialize(reps.join(size, "label").withColumn("shard", F.xxhash64("label")))
+    else:
+        placed = materialize(shards(reps, least, limit))
     whole = materialize(placed.groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("shards")))
 
     def edges(t: pa.Table) -> pa.Table:
@@ -368,9 +408,47 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col
     return vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("rep", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
+def audit_recall(reps: DataFrame, degree: DataFrame, queries: DataFrame, least: float, most: int = AUDIT) -> float:
+    """Share of the links of the queries (rep) that degree (rep, near) counts; 1 if they have
+    none. reps: rep, label, v, copies. The queries, `most` at most, those of the smallest
+    hash, are broadcast, and every rep is compared with those of its label."""
+    picked = reps.join(queries.select("rep").distinct(), "rep", "left_semi").join(degree, "rep", "left")
+    asked = picked.orderBy(F.xxhash64("rep", F.lit(17)), "rep").limit(most).select("rep", "label", "v", F.coalesce("near", F.lit(0)).alias("near")).toArrow()
+    if not asked.num_rows:
+        return 1.0
+    rep, label = (np.array(asked.column(c).to_pylist(), np.int64) for c in ("rep", "label"))
+    size = np.array([len(v) for v in asked.column("v").to_pylist()])
+    of = {int(x): (rep[label == x], vectors_of(asked.column("v").filter(pa.array(label == x)))) for x in np.unique(label)}
+    assert all(len(np.unique(size[label == x])) == 1 for x in of)
+    sent = reps.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches):
+        total: dict[int, int] = {}
+        for batch in batches:
+            labels = np.array(batch.column("label").to_pylist(), np.int64)
+            for x in np.unique(labels):
+                if int(x) not in sent.value:
+                    continue
+                ids, q = sent.value[int(x)]
+                at = np.flatnonzero(labels == x)
+                copies = np.array(batch.column("copies").to_pylist(), np.int64)[at]
+                mine = np.array(batch.column("rep").to_pylist(), np.int64)[at]
+                near = (q @ vectors_of(batch.column("v").take(pa.array(at))).T >= least) & (ids[:, None] != mine[None])
+                for i, n in zip(ids.tolist(), (near @ copies).tolist()):
+                    total[i] = total.get(i, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rep", "links"])
+
+    true = reps.select("rep", "label", "v", "copies").mapInArrow(count, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
+    links = {r.rep: r.links for r in true.collect()}
+    found = sum(min(n, links.get(i, 0)) for i, n in zip(rep.tolist(), asked.column("near").to_pylist()))
+    every = sum(links.values())
+    return found / every if every else 1.0
+
+
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, limit: int = SHARD, audit_every: int = 50) -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other rows linked directly),
-    component_id (smallest id reachable, its own included) and kept. Only equal labels
+    component_id (smallest id reachable, its own included), kept, and recall, that of
+    all rows' links as audited on vectors whose id is divisible by audit_every. Only equal labels
     are compared. Rows whose label is null, or whose vector is null, empty, zero or
     has a null or non-finite component, have no links; vectors of other length than
     most of their label's have links with none but their copies' length; equal vectors
@@ -381,34 +459,18 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     size = F.size("v")
     reps = sound.groupBy("rep").agg(F.first(F.struct(F.struct("label", size.alias("size")).alias("label"), "v")).alias("x"), F.count("*").alias("copies"), F.min("vec_id").alias("smallest")).select("rep", "x.*", "copies", "smallest")
     reps = materialize(reps.withColumn("label", F.xxhash64("label")))
-    found = materialize(near_links(reps.select("rep", "label", "v", "copies"), least))
-    degree = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("near"))
+    slim = reps.select("rep", "label", "v", "copies")
+    queries = rows.filter((F.col("vec_id") % audit_every == 0) & F.col("rep").isNotNull())
+    for exact in (False, True):
+        found = materialize(near_links(slim, least, limit, exact))
+        degree = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("near"))
+        recall = 1.0 if exact else audit_recall(slim, degree, queries, least)
+        if recall >= ENOUGH:
+            break
     links = found.filter("kind = 1").select("a", "b")
     group = components(links)
     of = reps.select("rep", "copies", "smallest").join(degree, "rep", "left").join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = of.groupBy("component").agg(F.min("smallest").alias("component_id"))
     of = of.join(named, "component").select("rep", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "rep").join(of, "rep", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
-
-
-def audit_recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, every: int = 50, block: int = 4096) -> DataFrame:
-    """Recall of n_links against brute force: the queries, rows whose id is divisible by
-    `every`, are compared with all rows of their label in blocks. One row: queries,
-    links that brute force finds, links found, recall."""
-    rows = materialize(distinct_vectors(vectors, id_col, vector_col, label_col).filter("rep is not null"))
-    query = rows.filter(F.col("vec_id") % every == 0)
-    blocks = query.withColumn("block", F.floor(F.col("vec_id") / (every * block)))
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, x = vectors_of(left.column("v")), vectors_of(right.column("v_"))
-        n = np.zeros(len(q), np.int64)
-        for i in range(0, len(x), block):
-            n += (q @ x[i : i + block].T >= least).sum(1)
-        return pa.table([left.column("vec_id"), pa.array(n - 1)], names=["vec_id", "true_links"])
-
-    of = blocks.select("label", "block").distinct()
-    salted = rows.select("label", "v").join(of, "label").select(F.col("label").alias("label_"), F.col("block").alias("block_"), F.col("v").alias("v_"))
-    true = blocks.groupBy("label", "block").cogroup(salted.groupBy("label_", "block_")).applyInArrow(count, "vec_id bigint, true_links bigint")
-    both = true.join(found.select("vec_id", "n_links"), "vec_id")
-    return both.agg(F.count("*").alias("queries"), F.sum("true_links").alias("links"), F.sum(F.least("true_links", "n_links")).alias("found")).withColumn("recall", F.when(F.col("links") > 0, F.col("found") / F.col("links")).otherwise(F.lit(1.0)))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("recall"))

@@ -13,10 +13,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import received, shipped, sliced
 
 STRETCH = 128
 HIDDEN = 8
@@ -187,26 +187,23 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, sample: int = 600, per_doc: int = 4, epochs: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Learns from at most `sample` documents for each language, those with the smallest
     hash of id and text, and from up to `per_doc` stretches spread over the text of each.
-    Only documents with text and a language that aren't held out take part. None if
-    there are none."""
+    Only documents with text and a language that aren't held out take part; repeated
+    rows count once; every language is learned. None if there are none. What comes to
+    the driver is `sample` rows of per_doc stretches for each language."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("doc_id", "text"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not counts:
-        return None
-    x, y, languages = [], [], sorted(counts)
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * sample / n))).otherwise(share)
-    near = known.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).withColumn("cut", F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.substring(F.col("text"), (i * F.length("text") / per_doc).cast("int") + 1, F.lit(STRETCH))))
-    seen = dict.fromkeys(languages, 0)
-    for r in sorted(near.select("lang", "h", "cut").limit(4 * sample * len(languages)).collect(), key=lambda r: (r.h, r.lang)):
-        if r.lang in seen and seen[r.lang] < sample:
-            seen[r.lang] += 1
-            for s in dict.fromkeys(r.cut):
-                if s.strip():
-                    x.append(stretches(s.encode()[:STRETCH])[0])
-                    y.append(languages.index(r.lang))
+    # Enough by hash to hold the smallest `sample` of each language, each once.
+    share = known.groupBy("lang").agg((F.lit(2.0 * sample) / F.approx_count_distinct("h")).alias("share"))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.substring(F.col("text"), (i * F.length("text") / per_doc).cast("int") + 1, F.lit(STRETCH)))
+    some = known.join(share, "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", F.pmod("h", F.lit(1 << 20)).alias("p"), "h", cut.alias("cut")).dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("p", "h")
+    rows = some.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= sample).select("lang", "turn", "cut").collect()
+    x, y, languages = [], [], sorted({r.lang for r in rows})
+    for r in sorted(rows, key=lambda r: (r.turn, r.lang)):
+        for s in dict.fromkeys(r.cut):
+            if s.strip():
+                x.append(stretches(s.encode()[:STRETCH])[0])
+                y.append(languages.index(r.lang))
     if not x:
         return None
     # Languages count alike: rare ones are repeated.
@@ -231,13 +228,14 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     probability). A text that is null or has no letter, and any text if there was
     nothing to learn from, is 'und' with score 0. Whole texts are read; repeated rows
     get the same answer; no rows for no documents."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(net)
+    if clash := {"doc_id", "_text", "lang_pred", "score"} & set(keep):
+        raise ValueError(f"kept columns would clash with the result's: {sorted(clash)}")
+    shared = shipped(docs.sparkSession, net)
     held = text_col in keep
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if held else [F.col(text_col).alias("_text")]))
 
     def label(batches):
-        net = shared.value
+        net = received(shared)
         for batch in sliced(batches):
             got = batch.column(text_col if held else "_text").to_pylist()
             at = [i for i, t in enumerate(got) if net is not None and t and LETTER.search(t)]

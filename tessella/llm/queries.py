@@ -16,7 +16,7 @@ from .license_scan import PHRASES, TEMPLATES, place, scan_licenses
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
-from .warc import RECORDS_PER_FILE, fixity_audit, hex_number, warc_records
+from .warc import COPIES, RECORDS_PER_FILE, fixity_audit, hex_number, warc_records
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,8 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length("record")
     damaged = F.concat(F.substring("record", F.lit(1), size - 5), F.lit("#"), F.substring("record", size - 3, F.lit(4)))
     hit = hex_number(F.col("page_id").cast("string")) % 97 == 5
-    replica = warc_records(pages, files).withColumn("record", F.when(hit, damaged).otherwise(F.col("record")))
-    return fixity_audit(pages, replica, files)
+    records = warc_records(pages)
+    return fixity_audit(records, records.withColumn("record", F.when(hit, damaged).otherwise(F.col("record"))), files)
 
 
 def op2_sql() -> str:
@@ -121,7 +121,7 @@ df AS (SELECT word, count(DISTINCT rid) AS n FROM p GROUP BY word),
 ix AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS r FROM (SELECT DISTINCT t, word FROM tw) LEFT JOIN df USING (word)) WHERE r <= 6),
 post AS (SELECT t, p, word FROM tw JOIN ix USING (t, word)),
 size AS (SELECT t, count(*) AS size FROM post GROUP BY t),
-top AS (SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY n, word) AS r FROM (SELECT DISTINCT rid, word FROM p WHERE word IN (SELECT word FROM ix)) JOIN df USING (word)) WHERE r <= 24),
+top AS (SELECT DISTINCT rid, word FROM p WHERE word IN (SELECT word FROM ix)),
 cand AS (SELECT rid, t, i - post.p AS s, count(*) AS n FROM p JOIN top USING (rid, word) JOIN post USING (word) GROUP BY ALL HAVING count(*) >= 3),
 held AS (SELECT c.rid, c.t, c.s, c.n, count(*) AS musts, count(*) FILTER (c.s + m.p >= 0 AND array_to_string(list_slice(w, c.s + m.p + 1, c.s + m.p + m.k), ' ') = m.words) AS good
          FROM cand c JOIN d USING (rid) JOIN must m ON m.t = c.t GROUP BY ALL),
@@ -175,14 +175,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
 """
 
-OP10_SQL = """
+OP10_SQL = f"""
 WITH p AS (
   SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS page, coalesce(url, '') AS url, coalesce(html, '') AS html,
-         greatest(1, CAST(round(count(*) OVER () / 4096.0) AS BIGINT)) AS files
+         (row_number() OVER (PARTITION BY page_id, url, html) - 1) // {COPIES} AS salt, greatest(1, CAST(round(count(*) OVER () / 4096.0) AS BIGINT)) AS files
   FROM pages),
 r AS (
   SELECT page_id, page, md5(page || ' ' || url) AS name,
-         CAST('0x' || substr(md5(page || ' ' || url || ' ' || substr(md5(html), 1, 8)), 1, 8) AS BIGINT) % files AS file, url, html
+         CAST('0x' || substr(md5(page || ' ' || url || ' ' || substr(md5(html), 1, 8) || CASE WHEN salt > 0 THEN ' ' || salt ELSE '' END), 1, 8) AS BIGINT) % files AS file, url, html
   FROM p),
 w AS (
   SELECT page_id, page, file,

@@ -151,12 +151,17 @@ def test_packing(spark):
 
 def test_fixity_audit(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(300)] + [(None, None, None), (7, "http://h/7", "<p>7</p>")], "page_id bigint, url string, html string")
-    good = warc_records(pages, 3)
+    good = warc_records(pages)
     assert sorted(r.url for r in parse_records(good).collect())[1:] == sorted(r.url for r in pages.collect() if r.url)
-    assert fixity_audit(pages, good, 3).count() == 0
+    assert fixity_audit(good, good, 3).count() == 0
     bad = good.withColumn("record", F.when(F.col("page_id").isin(5, 250), F.concat("record", F.lit("!"))).otherwise(F.col("record")))
-    assert sorted(r.page_id for r in fixity_audit(pages, bad, 3).collect()) == [5, 250]
-    lost = audit(leaves(good), leaves(good.filter("file <> 1")), 3)
-    assert lost.filter("hash_b is null").count() == good.filter("file = 1").count() == lost.count()
-    none = leaves(good.limit(0))
-    assert audit(none, none, 3).count() == 0
+    assert sorted(r.page_id for r in fixity_audit(good, bad, 3).collect()) == [5, 250]
+    leaf = leaves(good, 3).withColumn("replica", F.lit("a"))
+    lost = audit(leaf.unionByName(leaf.filter("file <> 1").withColumn("replica", F.lit("b"))), 3)
+    assert lost.filter("hash_b is null").count() == leaf.filter("file = 1").count() == lost.count()
+    assert audit(leaf.limit(0), 3).count() == 0
+    # A page that repeats is dealt to several files, and one damaged copy is found.
+    copies = warc_records(pages.limit(1).crossJoin(spark.range(5000)).select("page_id", "url", "html"))
+    assert leaves(copies, 50).select("file").distinct().count() > 1
+    one = spark.createDataFrame([("x",)], "record string").crossJoin(copies.select("page_id", "key").limit(1)).unionByName(copies.limit(4999))
+    assert fixity_audit(copies, one, 50).filter("hash_a <> hash_b").count() >= 1
