@@ -15,9 +15,9 @@ its vectors. The recall is audited against brute force over a stated set of quer
 if it is too low, everything is compared exactly.
 
 Where vectors fill so many dimensions that borders this wide would put most of them in
-most shards, narrower ones are taken: three, or one and a half, standard deviations of
-a link of random direction. A cell that even these can't split is compared exactly
-unless it is very large, so there alone links can be lost, and the audit shows it.
+most shards, narrower ones are taken: one and a half standard deviations of a link of
+random direction. Only there links can be lost, and the audit shows it. A cell that
+even these can't split is compared exactly unless it is very large.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ SAMPLE = 512
 #: Cells of so many shards' size are compared exactly if they can't be split.
 EXACT = 64
 #: A split must leave at most this share in one child, and put a vector in so many at most.
-SHARE, SPREAD = 0.7, 3.0
+SHARE, SPREAD = 0.7, 2.2
 #: Queries that the audit takes at most, and the recall below which all is compared.
 AUDIT, ENOUGH = 4096, 0.9
 #: Centroids nearer than this are one: no link of dense vectors is cut.
@@ -84,11 +84,11 @@ def border(x: np.ndarray, c: np.ndarray, least: float, small: bool) -> float:
     if len(c) == 1:
         return -1.0
     link = np.sqrt(2 - 2 * least)
-    for margin in (0.5, min(0.5, 1.5 / np.sqrt(x.shape[1])), min(0.5, 0.75 / np.sqrt(x.shape[1]))):
-        m = members(x, c, margin * link)
-        if m.mean(0).max() <= SHARE and m.sum(1).mean() <= SPREAD:
-            return float(margin * link)
-    return -1.0 if small else float(margin * link)
+    wide, narrow = 0.5 * link, min(0.5, 0.75 / np.sqrt(x.shape[1])) * link
+    m = members(x, c, wide)
+    if m.sum(1).mean() <= SPREAD and m.mean(0).max() <= SHARE:
+        return float(wide)
+    return -1.0 if small and members(x, c, narrow).mean(0).max() > SHARE else float(narrow)
 
 
 def prune(x: np.ndarray, node: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
