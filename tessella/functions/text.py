@@ -10,7 +10,7 @@ CARRIERS = (("xx", "xx"), ("qz", "jv"), ("qz", "qz"), ("mm", "mm"), ("qw", "qw")
 # Letters and the digits, wide and Cyrillic forms that stand for them.
 LEET_OUT = ("aeios", "43105")
 WIDE_OUT = tuple("".join(chr(first + i) for i in range(94)) for first in (0x21, 0xFF01))
-CYRILLIC_OUT = ("aeoc", "\u0430\u0435\u043e\u0441")
+CYRILLIC_OUT = ("aeoc", "аеос")
 
 
 def plain_tag(text: Column) -> Column:
@@ -62,6 +62,7 @@ def evasions(term: Column) -> dict[str, Column]:
         "cyrillic": F.translate(term, *CYRILLIC_OUT),
         "swap": F.when(F.length(term) > 2, F.concat(first, F.lit("v"), cut(3))).otherwise(term),
         "padded": F.concat(term, F.repeat(F.substring(term, -1, 1), 2)),
+        "upper": F.upper(term),
     }
 
 
@@ -81,8 +82,20 @@ def strip_markdown(text: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 4) -> Column:
-    """Sentences of at least `least` words; a line that begins a heading, list or table
-    breaks off the one before."""
-    broken = F.regexp_replace(text, r"(?m)^\s*(#|[-*] |\||\d+\.)", ". ")
-    found = F.transform(F.regexp_extract_all(broken, F.lit("([^.!?]+[.!?])"), F.lit(1)), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-    return F.filter(found, lambda s: F.size(F.split(s, " ")) >= least)
+    """Sentences of at least `least` words, without markup, tables and the marks of
+    headings, lists and quotes; a blank or marked line breaks off the one before."""
+    plain = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\|[^\n]*\|", "\n")
+
+    def broken(line: Column) -> Column:
+        line = F.regexp_replace(line, r"^\s+|\s+$", "")
+        marked = (line == "") | line.rlike(r"^(#|-|\*|>|\||===|\d+\.)")
+        return F.when(marked, F.concat(F.lit(". "), F.regexp_replace(line, r"^([#>*\-]+\s*|\d+\.\s*)", ""))).otherwise(line)
+
+    joined = F.regexp_replace(F.array_join(F.transform(F.split(plain, "\n"), broken), " "), r"\s+", " ")
+    found = F.transform(F.regexp_extract_all(joined, F.lit("([^.!?]+[.!?])"), F.lit(1)), lambda s: F.regexp_replace(s, "^[ .]+|[ .]+$", ""))
+    return F.filter(found, lambda s: (s != "") & (F.size(F.split(s, " ")) >= least))
+
+
+def without_style(html: Column) -> Column:
+    """What a page claims: without style blocks and tags."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<style\b.*?</style>", ""), "<[^>]+>", " ")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import evasions
 from ..functions.tokens import LATIN, LATIN_DIGITS, LETTERS, tokens
 from .match import occurrences, whole_words
+from .verdict import Guard
 
 
 def substring_hits(lines: DataFrame, entries: DataFrame) -> DataFrame:
@@ -23,6 +24,19 @@ def word_hits(lines: DataFrame, entries: DataFrame, pattern: str = LATIN_DIGITS)
     return whole_words(lines.select("line_id", "line"), entries, pattern, "line", "entry")
 
 
+def same_vocabulary(entries: DataFrame, allow: DataFrame | None = None) -> Guard:
+    """A guard that knows just the entries, as strong terms that are whole words, so that a
+    difference to another engine is one of matching."""
+    terms = entries.select(F.xxhash64("entry").alias("term_ord"), F.col("entry").alias("text"), F.lit(2).alias("tier"), F.lit("word").alias("mode"), F.lit(None).cast("array<string>").alias("locales"))
+    return Guard(terms, allow)
+
+
+def guard_hits(lines: DataFrame, guard: Guard, surface: str = "public", locale: str = "en") -> DataFrame:
+    """line_id of the lines that a guard flags as messages of one surface and locale."""
+    messages = lines.select(F.col("line_id").alias("msg_id"), F.col("line").alias("text"), F.lit(surface).alias("surface"), F.lit(locale).alias("locale"))
+    return guard.check(messages).filter("flagged").select(F.col("msg_id").alias("line_id"))
+
+
 def flagged(lines: DataFrame, hits: DataFrame) -> DataFrame:
     return lines.join(hits.select("line_id").distinct(), "line_id", "left_semi")
 

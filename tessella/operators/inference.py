@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import substrings
 
 # Fixed value: letters that padding is taken from.
-FILLER = "qzjvxk"
+FILLER = "qzjvx"
 
 
 def candidates(observations: DataFrame, common: DataFrame | None = None, low: int = 2, high: int = 12) -> DataFrame:

@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import settled
 from ..functions.stats import wilson
-from ..functions.text import sentences, strip_markdown, strip_markup
+from ..functions.text import sentences, strip_markdown, without_style
 
 
 def numbers(texts: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """key and number: whole numbers in a text, without markup and thousands commas;
-    numbers that are parts of others or of decimals don't count."""
-    plain = F.regexp_replace(strip_markup(F.col(text)), r"(\d),(?=\d{3}\b)", "$1")
-    found = F.regexp_extract_all(plain, F.lit(r"(?<![\w.])(\d+)(?![\w.]*\d)"), F.lit(1))
-    return texts.select(key, F.explode(found).alias("d")).filter(F.length("d") <= 15).select(key, F.col("d").cast("long").alias("number"))
+    """key and number: whole numbers in a text or page, thousands commas left out; the parts
+    of a decimal are two. Numbers of more than 15 digits are no figures."""
+    found = F.regexp_extract_all(without_style(F.col(text)), F.lit(r"\b(\d{1,3}(?:,\d{3})+|\d+)\b"), F.lit(1))
+    plain = texts.select(key, F.explode(found).alias("d")).select(key, F.replace("d", F.lit(","), F.lit("")).alias("d"))
+    return plain.filter(F.length("d") <= 15).select(key, F.col("d").cast("long").alias("number"))
+
+
+def percents(texts: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """key and percent: percentages with decimals."""
+    found = F.regexp_extract_all(without_style(F.col(text)), F.lit(r"\b(\d+\.\d+)%"), F.lit(1))
+    return texts.select(key, F.explode(found).alias("d")).select(key, F.col("d").cast("double").alias("percent"))
+
+
+def unsupported_percents(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Percentages that the evidence (percent) doesn't hold."""
+    return found.join(evidence.select("percent").distinct(), "percent", "left_anti").select(*found.columns).distinct()
 
 
 def unsupported(found: DataFrame, evidence: DataFrame, allowed: DataFrame | None = None, least: int = 100) -> DataFrame:
@@ -25,10 +37,11 @@ def unsupported(found: DataFrame, evidence: DataFrame, allowed: DataFrame | None
     return found.filter(F.col("number") >= least).join(known.distinct(), "number", "left_anti").distinct()
 
 
-# What a sentence must not exceed, and words that deny or stay vague.
+# What a sentence must not exceed, one denial close behind another, and a
+# pronoun that opens a paragraph.
 MAX_WORDS = 28
-NEGATION = r"(?i)\b(not|never|no)\b.*\b(not|never|no|un\w+)\b"
-VAGUE = r"^(It|This|That|These|Those|They)\s"
+NEGATION = r"(?i)\b(not|never|no|cannot|can't|without)\b[^.;]{0,40}?\b(not|never|no|nothing|none|nor|un\w+|in\w+valid)\b"
+VAGUE = r"\n\n\s*(It|This|That|These|Those|They)\s+(?!is the|are the)"
 
 
 def wording(texts: DataFrame, jargon: list[str], idioms: list[str], actors: str | None = None, key: str = "key", text: str = "text") -> DataFrame:
@@ -36,9 +49,9 @@ def wording(texts: DataFrame, jargon: list[str], idioms: list[str], actors: str
     plain = strip_markdown(F.col(text))
     low = F.lower(plain)
     count = lambda terms: sum((F.regexp_count(low, F.lit(rf"\Q{t}\E")) for t in terms), F.lit(0))
-    said = texts.select(key, plain.alias("plain"), sentences(plain).alias("s"), count(jargon).alias("jargon"), count(idioms).alias("idiom"))
+    said = settled(settled(texts, plain=plain), s=sentences(F.col("plain"))).select(key, "plain", "s", count(jargon).alias("jargon"), count(idioms).alias("idiom"))
     n = lambda test: F.size(F.filter("s", test))
-    kinds = {"jargon": F.col("jargon"), "idiom": F.col("idiom"), "actor": F.regexp_count("plain", F.lit(actors)) if actors else F.lit(0), "long": n(lambda s: F.size(F.split(s, " ")) > MAX_WORDS), "negation": n(lambda s: s.rlike(NEGATION)), "vague": n(lambda s: s.rlike(VAGUE))}
+    kinds = {"jargon": F.col("jargon"), "idiom": F.col("idiom"), "actor": F.regexp_count("plain", F.lit(actors)) if actors else F.lit(0), "long": n(lambda s: F.size(F.split(s, " ")) > MAX_WORDS), "negation": n(lambda s: s.rlike(NEGATION)), "vague": F.regexp_count("plain", F.lit(VAGUE))}
     rows = F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("long").alias("n")) for k, c in kinds.items()))
     return said.select(key, F.explode(rows).alias("x")).select(key, "x.*").filter("n > 0")
 

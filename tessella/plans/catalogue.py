@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalized
+from ..functions.normalize import normalized, settled
 from ..functions.stats import wilson
-from ..functions.text import evasions, strip_markup
+from ..functions.text import evasions, sentences
 from ..functions.tokens import LATIN_DIGITS, LETTERS, tokens
 from ..operators import audit, findings, inference, lint, screen
 from ..operators.match import occurrences
@@ -223,7 +223,13 @@ def offender_counts(spark, sf_dir):
 @query
 def over_block_matrix(spark, sf_dir):
     lines = fx.lines(spark, sf_dir)
-    return audit.over_block(lines, {"substring": audit.substring_hits(lines, fx.entries(spark)), "word": audit.word_hits(lines, fx.entries(spark))})
+    return audit.over_block(lines, engines(spark, lines, fx.entries(spark)))
+
+
+def engines(spark, lines: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
+    """What four filters flag: two plain ones, a guard that knows the entries, and the guard."""
+    same = audit.same_vocabulary(entries, fx.allow(spark))
+    return {"substring": audit.substring_hits(lines, entries), "word": audit.word_hits(lines, entries), "guard, same list": audit.guard_hits(lines, same), "guard": audit.guard_hits(lines, guard(spark))}
 
 
 def long_terms(spark) -> DataFrame:
@@ -243,7 +249,7 @@ def under_block_rollup(spark, sf_dir):
     words = fx.own_words(spark, sf_dir)
     corpus = audit.evasion_corpus(words.select(F.col("word").alias("term")))
     entries = words.select(F.col("word").alias("entry"))
-    return audit.under_block(corpus, {"substring": audit.substring_hits(corpus, entries), "word": audit.word_hits(corpus, entries)}).select("engine", F.coalesce("variant", F.lit("ALL")).alias("variant"), "lines", "flagged", "pct")
+    return audit.under_block(corpus, engines(spark, corpus, entries)).select("engine", F.coalesce("variant", F.lit("ALL")).alias("variant"), "lines", "flagged", "pct")
 
 
 @query
@@ -264,8 +270,8 @@ def probe_vote(spark, sf_dir):
 
 @query
 def probe_untested(spark, sf_dir):
-    """Words that only mismatched, among errors and signups."""
-    return findings.untested(fx.probes(spark, sf_dir).filter("result = 'mismatch' or t % 40 = 0"))
+    """Words that only mismatched; some are probed by errors only."""
+    return findings.untested(fx.probes(spark, sf_dir, lone_errors=True))
 
 
 @query
@@ -391,7 +397,7 @@ def stratified_sample(spark, sf_dir):
 def resume_anti_join(spark, sf_dir):
     """Part names that no probe has said yet."""
     queue = fx.own_words(spark, sf_dir).select(F.col("word").alias("text"))
-    return inference.waiting(queue, fx.probes(spark, sf_dir).unionByName(fx.table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.element_at(tokens(F.lower("p_name"), LETTERS), 1).alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in (("result", "string"), ("tag", "string"), ("t", "bigint"), ("phase", "string"), ("src_ord", "int"))))))
+    return inference.waiting(queue, fx.probes(spark, sf_dir).unionByName(fx.table(spark, sf_dir, "part").select(F.element_at(tokens(F.lower("p_name"), LETTERS), 1).alias("text"), *(F.lit(None).cast(t).alias(c) for c, t in (("result", "string"), ("tag", "string"), ("t", "bigint"), ("phase", "string"), ("src_ord", "int"))))))
 
 
 @query
@@ -477,16 +483,29 @@ def shadow_report(spark, sf_dir):
 def html_strip_numbers(spark, sf_dir):
     """Whole numbers of three digits or more in pages that page ids don't support."""
     pages = fx.table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "html")
-    digits = F.regexp_extract_all(strip_markup(F.col("html")), F.lit("([0-9]+)"), F.lit(1))
-    found = pages.select("key", F.explode(digits).alias("d")).filter("length(d) <= 15").select("key", F.col("d").cast("long").alias("number"))
+    found = lint.numbers(pages, "key", "html")
     return lint.unsupported(found, pages.select(F.col("key").alias("number")))
 
 
+@query
+def percent_evidence(spark, sf_dir):
+    """Percentages in wordings of market shares that the order totals don't support."""
+    nations = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("<style>p {width: 12.5%}</style><p>"), "n_name", F.lit(" holds "), (F.col("n_nationkey") * 1.5).cast("string"), F.lit("% of 1,250 parts.</p>")).alias("text"))
+    evidence = fx.table(spark, sf_dir, "region").select((F.col("r_regionkey") * 3.0).alias("percent"))
+    return lint.unsupported_percents(lint.percents(nations), evidence)
+
+
+@query
+def blocked_and_clean(spark, sf_dir):
+    """How many messages of each locale the guard blocks, flags and lets pass."""
+    messages = fx.messages(spark, sf_dir)
+    out = guard(spark).verdicts(messages).join(messages.select("msg_id", "locale"), "msg_id")
+    return out.groupBy("locale").agg(F.count_if("blocked").alias("blocked"), F.count_if("clean").alias("clean"), F.count_if(F.col("error_id") > 0).alias("flagged"))
+
+
 @query
 def sentence_lint(spark, sf_dir):
     """Sentences of four words or more in documents, and how many are too long."""
-    from ..functions.text import sentences
-
-    said = fx.table(spark, sf_dir, "documents").select("doc_id", sentences(F.col("text")).alias("s"))
+    said = settled(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), s=sentences(F.col("text")))
     long = F.filter("s", lambda x: F.size(F.split(x, " ")) > lint.MAX_WORDS)
     return said.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(long).cast("long").alias("long"))

@@ -116,11 +116,14 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(tokens(F.lower("text"), LETTERS)).alias("word")).distinct()
 
 
-def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe log made of events: the word goes by user, its frame by event."""
+def probes(spark: SparkSession, sf_dir: str, lone_errors: bool = False) -> DataFrame:
+    """A probe log made of events: the word goes by user, its frame by event. With
+    lone_errors, the words of errors are marked as their own."""
     e = table(spark, sf_dir, "events")
     word = F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod("user_id", F.lit(len(WORDS))) + 1).cast("int"))
     wrap = F.when(F.pmod("event_id", F.lit(7)) == 0, F.concat(F.lit("xx"), word, F.lit("xx"))).when(F.pmod("event_id", F.lit(7)) == 1, F.concat(F.lit("qz"), word, F.lit("jv"))).otherwise(word)
+    if lone_errors:
+        wrap = F.when(F.col("event_type") == "error", F.concat(F.lit("err"), wrap)).otherwise(wrap)
     short = F.length(word) <= 5
     result = F.when(F.col("event_type") == "error", "mismatch").when((F.col("event_type") == "click") | ((F.col("event_type") == "view") & short), "blocked").otherwise("sent")
     phase = F.when(F.pmod("user_id", F.lit(11)) == 3, "stage1").otherwise("sweep")

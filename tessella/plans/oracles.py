@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.normalize import LEET, LOOKALIKES, SEPARATORS, SPACES
 from ..functions.text import CARRIERS
 from ..operators.audit import PARETO
+from ..operators.inference import FILLER
 from ..sources.lexicon import ACTIONS, POLICIES
 from . import fixtures as fx
 
@@ -77,9 +78,10 @@ FREE_RIGHT = rf"(z >= length(t) OR NOT regexp_matches(substr(t, CAST(z + 1 AS IN
 GAP_CLASS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}._*''\"`\^~,;:()\[\]{}<>/\\|\-]"
 
 
-def stages(surface: str = "public") -> str:
+def stages(surface: str = "public", lex: str = LEX, allowed: str = ALLOW, source: str | None = None) -> str:
+    """The guard's stages over msg, up to verdict."""
     pieces = f"regexp_split_to_array(chars, '{GAP_CLASS}+')"
-    return f"""WITH {LEX}, {ALLOW}, {POLICY}, {messages(surface)}, {forms("msg")},
+    return f"""WITH {lex}, {allowed}, {POLICY}, {source or messages(surface)}, {forms("msg")},
 {hits("ha", "ta", "lex", "term_ord, term, tier, mode, locales")},
 pa AS (SELECT h.msg_id, 0 AS pass_ord, z AS scan1, a AS scan2, term_ord, term, tier, mode, locales, x.i AS o_start, y.i + 1 AS o_end
        FROM ha h JOIN na x ON x.msg_id = h.msg_id AND x.p = a JOIN na y ON y.msg_id = h.msg_id AND y.p = z - 1
@@ -127,9 +129,10 @@ verdict AS (SELECT msg.msg_id, {q(ACTIONS)}[coalesce(worst, 0) + 1] AS action, c
 S = stages()
 CAST = lambda *cs: ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in cs)
 ENTRIES = rows("entries", "entry", [(e,) for e in fx.ENTRIES])
+LINE_ROWS = "SELECT conv_id * 1000 + turn AS line_id, text AS line FROM conversations"
 LINES = "lines AS (SELECT conv_id * 1000 + turn AS line_id, role AS label, text AS line FROM conversations)"
 OWN = "own AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z][a-z'']*')) AS word FROM part)"
-DICT = rf"dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{LETTERS}')) AS word FROM documents)"
+DICT = rf"dict AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{LETTERS}')) AS word FROM documents)"
 
 
 def sub_hits(lines: str = "lines") -> str:
@@ -205,20 +208,41 @@ def wilson(k: str, n: str) -> str:
     return f"{p} AS p, greatest(0.0, {centre} - {half}) AS lo, least(1.0, {centre} + {half}) AS hi"
 
 
+def flagged(source: str, entries: list[str] | None = None) -> str:
+    """msg_id of the lines (line_id, line) of a query that a guard flags, its own list or
+    the entries as strong whole words being its terms."""
+    msg = f"msg(msg_id, text, surface, locale) AS (SELECT line_id, line, 'public', 'en' FROM ({source}))"
+    if entries is None:
+        return f"({stages(source=msg)} SELECT msg_id FROM worst)"
+    lex = f"lex(term_ord, term, tier, mode, locales) AS (SELECT row_number() OVER (), entry, 2, 'word', CAST(NULL AS VARCHAR[]) FROM ({entries}))"
+    allowed = f"allowed(word) AS (SELECT word FROM (SELECT unnest({q(fx.ALLOW)}) AS word) WHERE word NOT IN (SELECT entry FROM ({entries})))"
+    return f"({stages(lex=lex, allowed=allowed, source=msg)} SELECT msg_id FROM worst)"
+
+
 LEET_SQL = "translate({}, 'aeios', '43105')"
 VARIANTS = f"""variants AS (SELECT term, unnest([
   {{'variant': 'plain', 'line': term}}, {{'variant': 'spaced', 'line': array_to_string(string_split(term, ''), ' ')}},
   {{'variant': 'dotted', 'line': array_to_string(string_split(term, ''), '.')}}, {{'variant': 'dashed', 'line': array_to_string(string_split(term, ''), '-')}},
   {{'variant': 'repeat', 'line': substr(term, 1, 1) || repeat(substr(term, 2, 1), 3) || substr(term, 3)}}, {{'variant': 'leet', 'line': {LEET_SQL.format("term")}}},
   {{'variant': 'fullwidth', 'line': translate(term, {q(NARROW)}, {q(WIDE)})}}, {{'variant': 'cyrillic', 'line': translate(term, 'aeoc', {q(chr(0x430) + chr(0x435) + chr(0x43E) + chr(0x441))})}},
-  {{'variant': 'swap', 'line': CASE WHEN length(term) > 2 THEN substr(term, 1, 1) || 'v' || substr(term, 3) ELSE term END}}, {{'variant': 'padded', 'line': term || repeat(substr(term, length(term), 1), 2)}}]) AS v
+  {{'variant': 'swap', 'line': CASE WHEN length(term) > 2 THEN substr(term, 1, 1) || 'v' || substr(term, 3) ELSE term END}}, {{'variant': 'padded', 'line': term || repeat(substr(term, length(term), 1), 2)}}, {{'variant': 'upper', 'line': upper(term)}}]) AS v
   FROM (SELECT word AS term FROM own) WHERE length(term) >= 4),
 corpus AS (SELECT term, v.variant AS variant, v.line AS line, v.variant || '/' || term AS line_id FROM variants)"""
 
-STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&[a-z#0-9]+;', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
+CORPUS_ROWS = f"WITH {OWN}, {VARIANTS} SELECT line_id, line FROM corpus"
+
+CLAIMS = r"regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g')"
 
 MASKED = f"{S} SELECT msg_id, filtered, CAST(length(filtered) - length(replace(filtered, '*', '')) AS BIGINT) AS stars FROM verdict WHERE error_id = 1"
 COMPARED = f"""{S}, {ENTRIES}, cmp AS (SELECT v.msg_id, text, locale, EXISTS (SELECT 1 FROM entries WHERE length(entry) >= 4 AND contains(lower(v.text), entry)) AS incumbent_flagged, action <> 'ALLOW' AS guard_flagged, action AS guard_action, CAST(abs(v.msg_id) AS DOUBLE) AS ts FROM verdict v)"""
+PACKED = f"""WITH RECURSIVE w AS (SELECT word, row_number() OVER (ORDER BY ord) AS i FROM (SELECT lower(n_name) AS word, min(n_nationkey) AS ord FROM nation GROUP BY 1)),
+tok AS (SELECT i, word, {q(FILLER[:2])} || word || {q(FILLER[2:4])} AS token FROM w),
+fit(i, msg, used) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT t.i, CASE WHEN msg < 0 OR used + length(token) + 1 > 80 THEN msg + 1 ELSE msg END, CASE WHEN msg < 0 OR used + length(token) + 1 > 80 THEN length(token) + 1 ELSE used + length(token) + 1 END
+  FROM fit JOIN tok t ON t.i = fit.i + 1),
+packed AS (SELECT msg AS msg_idx, string_agg(token, ' ' ORDER BY tok.i) AS payload, string_agg(word, ',' ORDER BY tok.i) AS candidates, list(word ORDER BY tok.i) AS words FROM fit JOIN tok USING (i) GROUP BY msg)"""
 KIND = "CASE WHEN incumbent_flagged AND NOT guard_flagged THEN 'over_block_fixed' WHEN guard_flagged AND NOT incumbent_flagged THEN 'new_catch' END"
 DERIVED = f"""{rows("roots", "root, r", [(x, i) for i, x in enumerate(fx.ROOTS)])}, {rows("pre", "prefix, p", [(x, i) for i, x in enumerate(fx.PREFIXES)])}, {rows("suf", "suffix, s", [(x, i) for i, x in enumerate(fx.SUFFIXES)])}"""
 
@@ -263,12 +287,23 @@ hit AS (SELECT line_id, top, EXISTS (SELECT 1 FROM rk WHERE (rank > top OR recom
   OR EXISTS (SELECT 1 FROM rk WHERE rank <= top AND recommended_action = 'WHOLE-WORD' AND list_contains(regexp_extract_all(lower(line), '{LATIN}'), entry)) AS h FROM names, tops) {share('hit', 'h', 'top').replace('top,', 'CAST(top AS INT) AS top,', 1)}""",
     "longest_offender": f"WITH {ENTRIES}, {DICT} SELECT word, entry FROM dict, entries WHERE contains(word, entry) AND length(entry) < length(word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(entry) DESC, strpos(word, entry)) = 1",
     "offender_counts": f"WITH {ENTRIES}, {DICT}, o AS (SELECT word, entry FROM dict, entries WHERE contains(word, entry) AND length(entry) < length(word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(entry) DESC, strpos(word, entry)) = 1) SELECT entry, count(*) AS n, array_to_string(list_sort(list(word))[1:3], ',') AS examples FROM o GROUP BY entry",
-    "over_block_matrix": f"WITH {ENTRIES}, {LINES}, {sub_hits()}, {word_hits(DIGITS)}, hit AS (SELECT label, 'substring' AS engine, line_id IN (SELECT line_id FROM sub) AS h FROM lines UNION ALL SELECT label, 'word', line_id IN (SELECT line_id FROM wrd) FROM lines) {share('hit', 'h', 'label, engine')}",
+    "over_block_matrix": f"WITH {ENTRIES}, {LINES}, {sub_hits()}, {word_hits(DIGITS)}, hit AS (SELECT label, 'substring' AS engine, line_id IN (SELECT line_id FROM sub) AS h FROM lines UNION ALL SELECT label, 'word', line_id IN (SELECT line_id FROM wrd) FROM lines UNION ALL SELECT label, 'guard', line_id IN {flagged(LINE_ROWS)} FROM lines UNION ALL SELECT label, 'guard, same list', line_id IN {flagged(LINE_ROWS, 'SELECT unnest(' + q(fx.ENTRIES) + ') AS entry')} FROM lines) {share('hit', 'h', 'label, engine')}",
     "evasion_generate": f"WITH {OWN}, {VARIANTS} SELECT term, variant, line FROM corpus",
-    "under_block_rollup": f"WITH {OWN}, {VARIANTS}, entries AS (SELECT word AS entry FROM own), {sub_hits('corpus')}, {word_hits(DIGITS, 'corpus')}, hit AS (SELECT variant, 'substring' AS engine, line_id IN (SELECT line_id FROM sub) AS h FROM corpus UNION ALL SELECT variant, 'word', line_id IN (SELECT line_id FROM wrd) FROM corpus), every AS (SELECT * FROM hit UNION ALL SELECT 'ALL', engine, h FROM hit) {share('every', 'h', 'engine, variant')}",
+    "under_block_rollup": f"WITH {OWN}, {VARIANTS}, entries AS (SELECT word AS entry FROM own), {sub_hits('corpus')}, {word_hits(DIGITS, 'corpus')}, hit AS (SELECT variant, 'substring' AS engine, line_id IN (SELECT line_id FROM sub) AS h FROM corpus UNION ALL SELECT variant, 'word', line_id IN (SELECT line_id FROM wrd) FROM corpus UNION ALL SELECT variant, 'guard', line_id IN {flagged(CORPUS_ROWS)} FROM corpus UNION ALL SELECT variant, 'guard, same list', line_id IN {flagged(CORPUS_ROWS, 'WITH ' + OWN + ' SELECT word AS entry FROM own')} FROM corpus), every AS (SELECT * FROM hit UNION ALL SELECT 'ALL', engine, h FROM hit) {share('every', 'h', 'engine, variant')}",
     "selftest_gate": f"WITH {ENTRIES}, {NAMES} SELECT line_id, entry FROM names, entries WHERE contains(lower(line), entry) QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY length(entry), strpos(lower(line), entry)) = 1",
     "probe_vote": f"WITH {PROBES} SELECT word, n_blocked, n, verdict, disputed FROM votes",
-    "probe_untested": f"WITH {PROBES}, part_log AS (SELECT * FROM log WHERE result = 'mismatch' OR t % 40 = 0) SELECT DISTINCT text AS word FROM part_log WHERE result = 'mismatch' AND text NOT IN (SELECT text FROM part_log WHERE result IN ('blocked', 'sent'))",
+    "hitting_set": f"""WITH RECURSIVE {FOUND},
+     start AS MATERIALIZED (SELECT DISTINCT text, candidate FROM found),
+     pick(step, candidate, remaining) AS (
+       SELECT -1, CAST(NULL AS VARCHAR), (SELECT list(DISTINCT text) FROM start)
+       UNION ALL
+       SELECT step + 1, c, list_filter(remaining, lambda t: NOT list_contains(covered, t)) FROM (
+         SELECT step, remaining, c, (SELECT list(text) FROM start WHERE candidate = c) AS covered FROM (
+           SELECT step, remaining, (SELECT candidate FROM start WHERE list_contains(remaining, text) GROUP BY candidate ORDER BY count(*) DESC, length(candidate), candidate LIMIT 1) AS c FROM pick WHERE len(remaining) > 0)) WHERE c IS NOT NULL)
+     SELECT CAST(step AS INTEGER) AS step, candidate FROM pick WHERE step >= 0""",
+    "probe_pack": f"{PACKED} SELECT msg_idx, payload, candidates FROM packed",
+    "probe_read": f"{PACKED}, pair AS (SELECT unnest(words) AS candidate, unnest(string_split(payload, ' ')) AS sent, unnest(string_split(replace(payload, 'an', '**'), ' ')) AS back FROM packed) SELECT candidate, CASE WHEN sent <> back THEN 'fired' ELSE 'clean' END AS outcome FROM pair",
+    "probe_untested": f"WITH {PROBES}, marked AS (SELECT CASE WHEN result = 'mismatch' THEN 'err' || text ELSE text END AS text, result FROM log) SELECT DISTINCT text AS word FROM marked WHERE result = 'mismatch' AND text NOT IN (SELECT text FROM marked WHERE result IN ('blocked', 'sent'))",
     "fragment_candidates": f"WITH {FRAGMENTS} SELECT fragment FROM fr",
     "fragment_minimal": f"WITH {FRAGMENTS} SELECT fragment FROM rules",
     "probe_classify": f"WITH {FRAGMENTS}, {rows('att', 'word', [(w,) for w in fx.WORDS[:20]])}, {vocabulary('votes', 'att')} SELECT word, CASE WHEN {unwrapped('word')} IS NOT NULL THEN 'carrier' WHEN verdict = 'blocked' AND word IN (SELECT fragment FROM rules) THEN 'term' WHEN verdict = 'blocked' AND word IN (SELECT word FROM listed) THEN 'listed' WHEN verdict = 'blocked' AND word NOT IN (SELECT word FROM vocab) THEN 'unattested' WHEN verdict = 'blocked' THEN 'ordinary' WHEN verdict = 'sent' THEN 'clean' ELSE 'unconfirmed' END AS kind FROM votes",
@@ -283,7 +318,7 @@ hit AS (SELECT line_id, top, EXISTS (SELECT 1 FROM rk WHERE (rank > top OR recom
     "candidate_elimination": f"WITH {FOUND} SELECT text, candidate FROM found",
     "candidate_report": f"WITH {FOUND} SELECT text, count(*) AS n, array_to_string(list(candidate ORDER BY length(candidate), candidate)[1:12], ',') AS shortest FROM found GROUP BY text",
     "probe_design": f"WITH {FOUND} SELECT candidate, count(DISTINCT text) AS n, 'qz' || candidate || 'jv' AS probe FROM found GROUP BY candidate ORDER BY n DESC, length(candidate), candidate LIMIT 12",
-    "resume_anti_join": rf"WITH {OWN}, {PROBES} SELECT word AS text FROM own WHERE word NOT IN (SELECT text FROM log) AND word NOT IN (SELECT regexp_extract(lower(p_name), '{LETTERS}') FROM part WHERE p_partkey % 3 = 0)",
+    "resume_anti_join": rf"WITH {OWN}, {PROBES} SELECT word AS text FROM own WHERE word NOT IN (SELECT text FROM log) AND word NOT IN (SELECT regexp_extract(lower(p_name), '{LETTERS}') FROM part)",
     "stratified_sample": rf"WITH w AS (SELECT DISTINCT lang AS stratum, unnest(regexp_extract_all(lower(text), '{LETTERS}')) AS word FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || word), word) AS turn FROM w) SELECT stratum, word, CAST(turn AS INT) AS turn FROM r WHERE turn <= CASE stratum WHEN 'en' THEN 40 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 10 ELSE 0 END",
     "wilson_by_stratum": f"WITH s AS (SELECT source, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS k FROM labels JOIN documents USING (doc_id) GROUP BY source), w AS (SELECT *, {wilson('k', 'n')} FROM s) SELECT source, n, k, round(p, 6) AS p, round(lo, 6) AS lo, round(hi, 6) AS hi FROM w",
     "battery_score": f"WITH {BATTERY}, s AS (SELECT stratum, count(*) AS n, count(*) FILTER (result <> expected) AS unexpected FROM bat WHERE result IS NOT NULL GROUP BY stratum), w AS (SELECT *, {wilson('unexpected', 'n')} FROM s) SELECT stratum, n, unexpected, round(p * 100, 1) AS rate, round(lo * 100, 1) AS lo, round(hi * 100, 1) AS hi FROM w",
@@ -296,6 +331,15 @@ hit AS (SELECT line_id, top, EXISTS (SELECT 1 FROM rk WHERE (rank > top OR recom
     "allowlist_sources": r"WITH w AS (SELECT DISTINCT lang, lower(t) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]{3,}')) AS t FROM documents)) SELECT lang AS source, count(*) AS words FROM w WHERE length(word) BETWEEN 3 AND 24 GROUP BY lang",
     "shadow_compare": f"{COMPARED} SELECT {KIND} AS kind, text, locale, incumbent_flagged, guard_flagged, guard_action, ts FROM cmp WHERE incumbent_flagged <> guard_flagged",
     "shadow_report": f"{COMPARED} SELECT count(*) AS calls, count(*) FILTER (incumbent_flagged = guard_flagged) AS agree, count(*) FILTER (incumbent_flagged AND NOT guard_flagged) AS over_block_fixed, count(*) FILTER (guard_flagged AND NOT incumbent_flagged) AS new_catch, CAST(0 AS BIGINT) AS guard_errors, round(count(*) FILTER (incumbent_flagged = guard_flagged) * 100 / greatest(count(*), 1), 2) AS agreement_pct FROM cmp",
-    "html_strip_numbers": f"WITH d AS (SELECT page_id AS key, unnest(regexp_extract_all({STRIP}, '[0-9]+')) AS d FROM pages), n AS (SELECT DISTINCT key, CAST(d AS BIGINT) AS number FROM d WHERE length(d) <= 15) SELECT key, number FROM n WHERE number >= 100 AND number NOT IN (SELECT page_id FROM pages)",
-    "sentence_lint": r"WITH b AS (SELECT doc_id, regexp_replace(text, '(?m)^\s*(#|[-*] |\||\d+\.)', '. ', 'g') AS t FROM documents), s AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[^.!?]+[.!?]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS s FROM b), n AS (SELECT doc_id, list_transform(s, lambda x: len(string_split(x, ' '))) AS n FROM s) SELECT doc_id, CAST(len(list_filter(n, lambda x: x >= 4)) AS BIGINT) AS sentences, CAST(len(list_filter(n, lambda x: x > 28)) AS BIGINT) AS long FROM n",
+    "html_strip_numbers": rf"WITH d AS (SELECT page_id AS key, replace(unnest(regexp_extract_all({CLAIMS}, '\b(?:\d{{1,3}}(?:,\d{{3}})+|\d+)\b')), ',', '') AS d FROM pages), n AS (SELECT DISTINCT key, CAST(d AS BIGINT) AS number FROM d WHERE length(d) <= 15) SELECT key, number FROM n WHERE number >= 100 AND number NOT IN (SELECT page_id FROM pages)",
+    "percent_evidence": "SELECT n_nationkey AS key, n_nationkey * 1.5 :: DOUBLE AS percent FROM nation WHERE n_nationkey * 1.5 NOT IN (SELECT r_regionkey * 3.0 FROM region)",
+    "blocked_and_clean": f"{S} SELECT locale, count(*) FILTER (error_id = 2) AS blocked, count(*) FILTER (error_id = 0) AS clean, count(*) FILTER (error_id > 0) AS flagged FROM verdict GROUP BY locale",
+    "sentence_lint": r"""WITH line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i
+       FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\|[^\n]*\|', chr(10), 'g') AS t FROM documents)),
+     said AS (SELECT doc_id, i, CASE WHEN l = '' OR left(l, 1) IN ('#', '-', '*', '>', '|') OR starts_with(l, '===') OR regexp_matches(l, '^\d+\.')
+       THEN '. ' || CASE WHEN regexp_matches(l, '^\d+\.') THEN regexp_replace(l, '^\d+\.\s*', '') ELSE ltrim(ltrim(l, '#>*-')) END ELSE l END AS l FROM (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l FROM line)),
+     doc AS (SELECT doc_id, regexp_replace(string_agg(l, ' ' ORDER BY i), '\s+', ' ', 'g') AS t FROM said GROUP BY doc_id),
+     sent AS (SELECT doc_id, trim(unnest(regexp_extract_all(t, '[^.!?]+[.!?]')), ' .') AS s FROM doc),
+     n AS (SELECT doc_id, len(string_split(s, ' ')) AS n FROM sent WHERE s <> '')
+     SELECT d.doc_id, count(n) FILTER (n >= 4) AS sentences, count(n) FILTER (n > 28) AS long FROM documents d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
 }
