@@ -56,7 +56,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,5 +204,69 @@ SELECT file, CAST(no AS BIGINT) AS no, page_id, CAST(off AS BIGINT) AS "offset",
 FROM a JOIN b USING (file, no) WHERE hash_a <> hash_b
 """
 
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS MATERIALIZED (SELECT rid, b, substr(h, 1024 * b + 1, 1822) AS t FROM (SELECT rid, h, unnest(range((length(h) // 2 - 400) // 512 + 1)) AS b FROM d WHERE length(h) >= 800)),
+win AS MATERIALIZED (SELECT rid, 512 * b + i AS p, md5(substr(t, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM (SELECT rid, b, t, unnest(range(least(512, length(t) // 2 - 399))) AS i FROM block)),
+again AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT rid, p FROM win JOIN again USING (m)),
+isle AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT rid, run, min(p) AS s, max(p) + 400 AS e FROM isle GROUP BY rid, run),
+cut AS (SELECT rid, count(*) AS n, sum(e - s) AS removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM span GROUP BY rid),
+piece AS (SELECT rid, h, unnest(list_prepend(0, es)) AS a, unnest(list_append(ss, length(h) // 2)) AS z FROM d JOIN cut USING (rid)),
+kept AS (SELECT rid, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a) AS h FROM piece GROUP BY rid)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT rid, p, md5(array_to_string(list_slice(w, p, p + 34), ' ')) AS m FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+again AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS i FROM win JOIN again USING (m)),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid),
+cut AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT rid, md5(array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ')) AS s
+       FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+pair AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM pair JOIN size sx ON sx.rid = x JOIN size sy ON sy.rid = y WHERE 100 * common >= 75 * (sx.n + sy.n - common)),
+reach(rid, low) AS (
+  SELECT rid, rid FROM d
+  UNION
+  SELECT link.y, reach.low FROM reach JOIN link ON link.x = reach.rid),
+of AS (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = reach.low GROUP BY reach.rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM d JOIN of USING (rid) LEFT JOIN size USING (rid) LEFT JOIN (SELECT x AS rid, count(*) AS links FROM link GROUP BY x) USING (rid)
+"""
+
+OP3_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS MATERIALIZED (
+  SELECT rid, vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (
+  SELECT a.rid AS x, b.rid AS y FROM sound a JOIN sound b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.93 * a.n * b.n),
+reach(rid, low) AS (
+  SELECT rid, rid FROM v
+  UNION
+  SELECT link.y, reach.low FROM reach JOIN link ON link.x = reach.rid),
+of AS (SELECT reach.rid, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.rid = reach.low GROUP BY reach.rid)
+SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept, 1.0 :: DOUBLE AS recall
+FROM v JOIN of USING (rid) LEFT JOIN (SELECT x AS rid, count(*) AS links FROM link GROUP BY x) USING (rid)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_embedding_dedup, op4_substring_dedup, op5_ngram_jaccard, op6_language_id, op7_chat_format, op8_decontaminate, op9_best_fit_packing, op10_merkle_audit)}
-ORACLES: dict[str, str] = {"op2_license_scan": op2_sql(), "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_license_scan": op2_sql(), "op3_embedding_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_merkle_audit": OP10_SQL}
