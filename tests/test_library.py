@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import sample_size, wilson
-from tessella.functions.text import unwrap
+from tessella.functions.text import unwrap, sentences
 from tessella.operators import audit, findings, inference, lint, screen
 from tessella.operators.match import occurrences
 from tessella.operators.verdict import Guard
@@ -105,11 +105,15 @@ def test_screens_and_radius(spark):
 
 def test_lint(spark):
     texts = spark.createDataFrame([("d", "We found 1,234 rows and 3.5 of 99. <b>It</b> is 700.")], "key string, text string")
-    assert sorted(r.number for r in lint.numbers(texts).collect()) == [99, 700, 1234]
+    assert sorted(r.number for r in lint.numbers(texts).collect()) == [3, 5, 99, 700, 1234]  # the parts of a decimal are two
     evidence = spark.createDataFrame([(1234,)], "number bigint")
     assert [r.number for r in lint.unsupported(lint.numbers(texts), evidence).collect()] == [700]
-    said = spark.createDataFrame([("d", "It leverages the thing we have. We do not say never here. " + "word " * 30 + ".")], "key string, text string")
+    said = spark.createDataFrame([("d", "It leverages the thing we have. We do not say never here. " + "word " * 30 + ".\n\nThis stays with us all.\n\nThose are the rules we have.")], "key string, text string")
     assert {r.kind: r.n for r in lint.wording(said, ["leverage"], []).collect()} == {"jargon": 1, "vague": 1, "negation": 1, "long": 1}
+    shares = spark.createDataFrame([("d", "<style>p {width: 9.9%}</style>We hold 12.5% and 7.25% of 8%.")], "key string, text string")
+    assert [r.percent for r in lint.unsupported_percents(lint.percents(shares), spark.createDataFrame([(7.25,)], "percent double")).collect()] == [12.5]
+    prose = spark.createDataFrame([("# A heading over it\nwe walk\nfar away today.\n\n- one two three four\n| a | table |\nFive six seven eight nine!",)], "t string")
+    assert prose.select(sentences(F.col("t")).alias("s")).first().s == ["A heading over it we walk far away today", "one two three four", "Five six seven eight nine!"]
     good = spark.createDataFrame([("a", "ALLOW", None), ("b", "MASK", "**")], "id string, action string, filtered string")
     assert lint.conformance(good, good).count() == 0
 
