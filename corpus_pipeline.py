@@ -50,6 +50,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins, as pack_documents() gives them; none for none."""
     return pack_documents(docs.select(*COLUMNS))
 
 
@@ -61,12 +62,13 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: Neither the network nor the packing can be said in SQL. Of the stages, only the first
-#: has a test, on a table without languages; run() has none.
+#: Neither the network nor the packing can be said in SQL; tests/llm/test_pipeline.py holds
+#: every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written before the next; no rows for no documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
