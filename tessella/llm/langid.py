@@ -9,6 +9,7 @@ Many stretches run side by side, so a step over one byte is a few array operatio
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -193,9 +194,10 @@ def fit(docs: DataFrame, sample: int = 600, per_doc: int = 4, epochs: int = 8, i
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("doc_id", "text"))
     # Enough by hash to hold the smallest `sample` of each language, each once.
-    share = known.groupBy("lang").agg((F.lit(2.0 * sample) / F.approx_count_distinct("h")).alias("share"))
+    shares = {r.lang: 2.0 * sample / r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    share = F.from_json(F.lit(json.dumps(shares)), "map<string,double>")[F.col("lang")]
     cut = F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.substring(F.col("text"), (i * F.length("text") / per_doc).cast("int") + 1, F.lit(STRETCH)))
-    some = known.join(share, "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", F.pmod("h", F.lit(1 << 20)).alias("p"), "h", cut.alias("cut")).dropDuplicates(["lang", "h"])
+    some = known.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.pmod("h", F.lit(1 << 20)).alias("p"), "h", cut.alias("cut")).dropDuplicates(["lang", "h"])
     first = Window.partitionBy("lang").orderBy("p", "h")
     rows = some.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= sample).select("lang", "turn", "cut").collect()
     x, y, languages = [], [], sorted({r.lang for r in rows})
