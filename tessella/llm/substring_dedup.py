@@ -4,7 +4,10 @@ A first pass counts, over all sampled suffixes (see sync), how many begin with e
 prefix of one, two, and up to `least` words, in hashed counters. Each suffix is
 then dealt by the shortest of its prefixes that few enough suffixes share, so the
 prefixes vary in length and every group fits in memory; equal windows share
-`least` words, so none is torn apart. Of each group one task builds the suffix
+`least` words, so none is torn apart. Where even `least` words are too common, a
+suffix is dealt twice: for windows that begin fewer than half of `reach` words before
+it by the longer prefix that these share, and for the others by that half of
+`reach` words before it and `least` after it. Of each group one task builds the suffix
 tree. Its internal nodes at least `least` words deep are the maximal repeats, and
 from their leaves, ordered by the words before them, the repeated windows follow.
 Equal records of one task are merged before they travel, so a passage that a third
@@ -28,6 +31,8 @@ from .sync import anchors, back_words, common, common_words, groups, merged, mix
 GRAM = 3
 PIECE = 400_000
 GROUP = 50_000
+#: Sampled suffixes for each part of the exchange; parts follow the data.
+PART = 500_000
 
 
 def pieces(docs, win: int):
@@ -140,13 +145,13 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty and short texts have none; repeated rows are places of their own."""
     if not 1 <= reach <= win - GRAM + 1:
         raise ValueError("reach must leave room for a gram inside the window")
-    n = partitions(docs.sparkSession)
-    labels = part_labels(n)
-    least = win - reach + 1
+    least, half = win - reach + 1, reach // 2
     # A bounded number of counters: what the driver holds does not grow with the text.
-    buckets = 1 << min(17, max(13, (64 * n - 1).bit_length()))
+    buckets = 1 << min(17, max(13, (64 * partitions(docs.sparkSession) - 1).bit_length()))
     rows = keyed(docs, id_col, text_col).select("k", "text").filter(F.octet_length("text") >= 2 * win - 1)
     counts = prefix_counts(rows, win, reach, buckets)
+    n = max(partitions(docs.sparkSession), -(-int(counts[:buckets].sum()) // PART))
+    labels = part_labels(n)
     few = (counts <= GROUP).reshape(least, buckets)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(few, axis=1))
 
@@ -158,11 +163,22 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             choice = np.full(len(a), -1, np.int64)
             for t, b in enumerate(prefix):
-                open_ = (choice < 0) & (ok[t][b] | (t == least - 1))
+                open_ = (choice < 0) & ok[t][b]
                 choice[open_] = t * buckets + b[open_]
             pos = a - starts[of] + np.array([x[1] for x in group], np.int64)[of]
-            for i, p, q, d, x, y, w0, w1, w2 in zip(a.tolist(), first.tolist(), last.tolist(), of.tolist(), pos.tolist(), choice.tolist(), at[first].tolist(), at[a].tolist(), at[last + win].tolist()):
-                yield big[w1:w2], big[w0:w1], i - q, i - p, group[d][0], x, y
+            lo, hi = a - last, a - first
+            if (choice < 0).any():
+                near, far = np.flatnonzero((choice < 0) & (lo < half)), np.flatnonzero((choice < 0) & (hi >= half))
+                sums = prefix_sums(big)
+                key = lambda s, e: least * buckets + (run_hashes(sums, at[s], at[e]) >> np.uint64(2)).astype(np.int64)
+                keys = [key(a[near], a[near] + win - half + 1), key(a[far] - half, a[far] + least)]
+                plain = np.flatnonzero(choice >= 0)
+                lo, hi = np.concatenate([lo[plain], lo[near], np.maximum(lo[far], half)]), np.concatenate([hi[plain], np.minimum(hi[near], half - 1), hi[far]])
+                pick = np.concatenate([plain, near, far])
+                choice = np.concatenate([choice[plain], *keys])
+                a, of, pos = a[pick], of[pick], pos[pick]
+            for i, j, d, x, y, w0, w1, w2 in zip(lo.tolist(), hi.tolist(), of.tolist(), pos.tolist(), choice.tolist(), at[a - hi].tolist(), at[a].tolist(), at[a - lo + win].tolist()):
+                yield big[w1:w2], big[w0:w1], i, j, group[d][0], x, y
 
     def make(batches):
         yield from emit_runs(records(batches), lambda x: (x[6] * 2654435761 >> 7) % n, labels, win, key=by_group, encode=pack)

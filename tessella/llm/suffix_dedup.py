@@ -26,6 +26,8 @@ from .sync import anchors, back_bytes, common, groups, merged, mixed
 GRAM = 16
 PIECE = 4 << 20
 RUN = 60_000
+#: Sampled suffixes for each part of the exchange; parts follow the data.
+PART = 500_000
 MARKS = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
@@ -241,9 +243,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     none; repeated rows are places of their own, so all their windows repeat."""
     if not GRAM <= reach <= win - GRAM + 1:
         raise ValueError("reach must leave room for a gram inside the window")
-    n = partitions(docs.sparkSession)
-    labels = part_labels(n)
     least = win - reach + 1
+    rows = keyed(docs, id_col, text_col).select("k", "text").filter(F.octet_length("text") >= win)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-2 * size // ((reach + 1) * PART)))
+    labels = part_labels(n)
 
     def make(batches):
         yield from emit_runs(byte_records(texts(batches), win, reach), lambda x: zlib.crc32(x[0][:least]) % n, labels, win)
@@ -257,7 +261,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def merge(batches):
         yield from forwarded(batches, merge_part)
 
-    rows = keyed(docs, id_col, text_col).select("k", "text").filter(F.octet_length("text") >= win)
     runs = rows.mapInArrow(make, "part bigint, kind int, blob binary").repartition(n, "part")
     return runs.mapInArrow(merge, "k bigint, s bigint, e bigint")
 

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard
+from tessella.llm import substring_dedup as substring
+from tessella.llm import suffix_dedup as suffix
 from tessella.llm.jaccard import jaccard_components
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.suffix_dedup import LoserTree, suffix_dedup
@@ -64,6 +66,21 @@ def test_substring_dedup(spark, rows, win, reach):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
 
 
+@pytest.mark.parametrize("win,reach", [(10, 6), (10, 1), (35, 30)])
+def test_substring_dedup_splits_common_prefixes(spark, rows, win, reach, monkeypatch):
+    """Every prefix counts as too common, and parts are many."""
+    monkeypatch.setattr(substring, "GROUP", 0)
+    monkeypatch.setattr(substring, "PART", 20)
+    rng = random.Random(6)
+    more = [" ".join("same six words begin every window".split() + [rng.choice("ab") for _ in range(40)] + ["x"] * rng.randint(0, 40)) for _ in range(60)]
+    test_substring_dedup(spark, rows + [(1000 + i, t, "x", "y", 0) for i, t in enumerate(more)], win, reach)
+
+
+def test_suffix_dedup_of_many_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "PART", 200)
+    test_suffix_dedup(spark, rows, 60, 45)
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
