@@ -1,7 +1,9 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
 Documents are dealt by hash to shards of about `shard_rows` rows, and each shard is
-packed by itself, longest first. Open bins are kept in order of their residual
+packed by itself, longest first. Repeated rows are counted before they travel and go
+to the shards in lots of at most `LOT`, so a row that is a third of the table fills no
+shard alone. Open bins are kept in order of their residual
 space. A bin carries bitmaps: one of the duplicate clusters in it, and one of its
 sources, with `per_source` bits each. The search starts at the smallest residual
 that fits and goes on to the next larger until a bin has neither the document's
@@ -12,10 +14,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Repeated rows that go to a shard together.
+LOT = 64
 OUT = "doc_id {}, source string, cluster bigint, shard bigint, bin bigint, piece bigint, start bigint, at bigint, n_tokens bigint"
 
 
@@ -80,10 +85,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(1, round(docs.count() / shard_rows))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"), F.xxhash64(text).alias("h"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", F.lit(9)), F.lit(shards)))
+    lots = rows.groupBy("doc_id", "source", "cluster", "n", "h").agg(F.count("*").alias("copies")).withColumn("lot", F.explode(F.sequence(F.lit(0), ((F.col("copies") - 1) / LOT).cast("int"))))
+    lots = lots.withColumn("copies", F.least(F.col("copies") - F.col("lot") * LOT, F.lit(LOT))).withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", "lot", F.lit(9)), F.lit(shards)))
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "descending"), ("doc_id", "ascending"), ("h", "ascending")])
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t.column("copies").to_numpy())))
+        t = t.sort_by([("n", "descending"), ("doc_id", "ascending"), ("h", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
         placed = best_fit(list(zip(*(t.column(c).to_pylist() for c in ("n", "source", "cluster")))), capacity, per_source)
         item, b, piece, start, at = (pa.array(x, pa.int64()) for x in zip(*placed))
         t = t.take(item)
@@ -92,4 +99,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bins = [s * (1 << 32) + x for s, x in zip(shard.to_pylist(), b.to_pylist())]
         return pa.table([t.column("doc_id"), t.column("source"), t.column("cluster"), shard, pa.array(bins, pa.int64()), piece, start, at, pa.array(size, pa.int64())], names=["doc_id", "source", "cluster", "shard", "bin", "piece", "start", "at", "n_tokens"])
 
-    return rows.groupBy("shard").applyInArrow(pack, OUT.format(kind))
+    return lots.groupBy("shard").applyInArrow(pack, OUT.format(kind))
