@@ -99,8 +99,11 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turn, lambda x: F.struct(unescape(F.regexp_extract(x, r"(?s)\A<\|([^|]*)\|>", 1)).alias("role"), unescape(F.regexp_replace(x, r"(?s)\A<\|[^|]*\|>", "")).alias("text")))
 
 
-def loss_text(segments: Column) -> Column:
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, segments: Column) -> Column:
+    """The texts under the loss mask, unescaped, read back from formatted: of segments only
+    the marks count, and of these the one in the middle of each turn."""
+    marks = F.transform(F.filter(segments, lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    return F.array_join(F.zip_with(read_back(formatted), marks, lambda t, m: F.when(m, t["text"])), "")
 
 
 def chained(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -70,7 +70,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     told = format_replies(chained(rows.unionByName(more)))
     said_turns = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = loss_text(F.col("segments"))
+    loss = loss_text(F.col("formatted"), F.col("segments"))
     return told.select(
         F.col("tree").alias("conv_id"),
         F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"),

@@ -69,7 +69,7 @@ def test_pipeline_keeps_unlabelled_documents(spark):
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a<b|c[d\\e\\l \\\\|> <|end|> é\n"), (1, 1, "assistant", "\\"), (1, 2, "assistant", None), (2, 0, None, "only"), (None, 5, "assistant", "x"), (1, 3, "user|><|", "[INST]")]
     got = format_replies(chained(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")))
-    got = got.select("tree", "n_turns", read_back(F.col("formatted")).alias("back"), loss_text(F.col("segments")).alias("loss"), "formatted", "segments")
+    got = got.select("tree", "n_turns", read_back(F.col("formatted")).alias("back"), loss_text(F.col("formatted"), F.col("segments")).alias("loss"), "formatted", "segments")
     by = {r.tree: r for r in got.collect()}
     assert set(by) == {1, 2, None}
     assert [(t.role, t.text) for t in by[1].back] == [(t[2], t[3] or "") for t in turns[:3]] + [(turns[5][2], "[INST]")]
@@ -149,6 +149,14 @@ def test_packing(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
 
 
+def test_packing_deals_copies(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1)] * 1000 + [(None, None, None, 2)] * 500 + [(i, f"t{i}", "u", 3) for i in range(2, 502)], "doc_id bigint, text string, source string, copies int")
+    rows = pack_documents(docs, capacity=100, shard_rows=200).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter([(1, 3)] * 1000 + [(None, 0)] * 500 + [(i, 1) for i in range(2, 502)])
+    assert max(Counter(r.shard for r in rows if r.doc_id == 1).values()) < 500
+    assert len({r.bin for r in rows if r.doc_id == 1}) == 1000
+
+
 def test_fixity_audit(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(300)] + [(None, None, None), (7, "http://h/7", "<p>7</p>")], "page_id bigint, url string, html string")
     good = warc_records(pages)
